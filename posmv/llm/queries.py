@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posmv.llm import exact_dedup, mixing
+from posmv.llm import bpe, exact_dedup, langid, mixing, orc_tokens, simhash
 from posmv.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixed order of documents; weights are the roots of the sources' sizes."""
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.token_offsets(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_mix_sources, op6_orc_tokens, op8_simhash, op9_exact_dedup)}
 
 ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
