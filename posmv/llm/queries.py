@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posmv.llm import bpe, exact_dedup, langid, mixing, orc_tokens, simhash
+from posmv.llm import audio, bpe, exact_dedup, html_text, langid, mixing, orc_tokens, simhash
 from posmv.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_offsets(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -34,6 +42,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_bpe, op4_mix_sources, op6_orc_tokens, op8_simhash, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_bpe, op4_mix_sources, op6_orc_tokens, op7_html_text, op8_simhash, op9_exact_dedup)}
 
 ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
