@@ -204,12 +204,13 @@ def labels(page: list[Block]) -> list[bool]:
 
 
 def _nearest(first: list[str], page: list[Block]) -> list[str | None]:
-    """The label of the last decided block before each, among blocks on the same side of the article's bounds."""
+    """The label of the last decided block before each, among blocks on the same side of the article's bounds;
+    what is boilerplate by its element says nothing about the article around it."""
     last: dict[bool, str] = {}
     found = []
     for x, b in zip(first, page, strict=True):
         found.append(last.get(b.inside))
-        if x in ("good", "bad"):
+        if x in ("good", "bad") and not (b.inside and b.dropped):
             last[b.inside] = x
     return found
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posmv.llm import audio, bpe, exact_dedup, html_text, langid, mixing, orc_tokens, simhash
+from posmv.llm import audio, bpe, exact_dedup, html_text, langid, mixing, orc_tokens, simhash, substring
 from posmv.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_offsets(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_bpe, op4_mix_sources, op6_orc_tokens, op7_html_text, op8_simhash, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_bpe, op4_mix_sources, op5_substring_dedup, op6_orc_tokens, op7_html_text, op8_simhash, op9_exact_dedup)}
 
-ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op5_substring_dedup": substring.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
