@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posmv.llm import audio, bpe, exact_dedup, html_text, langid, mixing, orc_tokens, simhash, substring
+from posmv.llm import audio, bpe, brown_lm, exact_dedup, html_text, langid, mixing, orc_tokens, simhash, substring
 from posmv.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_bpe, op4_mix_sources, op5_substring_dedup, op6_orc_tokens, op7_html_text, op8_simhash, op9_exact_dedup)}
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_bpe, op4_mix_sources, op5_substring_dedup, op6_orc_tokens, op7_html_text, op8_simhash, op9_exact_dedup, op10_brown_lm)}
 
 ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE, "op5_substring_dedup": substring.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
