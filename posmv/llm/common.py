@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,15 +19,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the driver and all executors share.
 
     The cluster names that folder in spark.checkpoint.dir. Where it is unset (tests, one machine), a
-    temporary folder is set once and used from then on.
+    temporary folder of this process takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="posmv-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/posmv/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="posmv-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it cuts the lineage, and lost executors
     cost no recomputation of what is below."""
