@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from posmv.functions import scalars as S
-from posmv.sources import schemas
+
+
+def _fields(raw: DataFrame, value: str, names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of JSON objects as text. A generator reads each line once, and filters stay above it."""
+    return raw.select(*keep, F.json_tuple(value, *names).alias(*names))
 
 
 def parse_trades(raw: DataFrame, value: str = "value") -> DataFrame:
     """Trades; lines that are no JSON or lack an id, account or ticker are dropped, a missing number is 0."""
-    t = raw.select(F.from_json(value, schemas.TRADE).alias("t")).select("t.*")
-    return t.filter("trade_id IS NOT NULL AND account IS NOT NULL AND ticker IS NOT NULL").fillna(0, ["qty", "event_time"])
+    t = _fields(raw, value, ("trade_id", "account", "ticker", "qty", "event_time"))
+    number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)).cast("bigint").alias(c)
+    return t.filter("trade_id IS NOT NULL AND account IS NOT NULL AND ticker IS NOT NULL").select("trade_id", "account", "ticker", number("qty"), number("event_time"))
 
 
 def parse_prices(raw: DataFrame, value: str = "value", mode: str = "strict", keep: tuple[str, ...] = ()) -> DataFrame:
     """symbol, price, price_cents, event_time and the columns `keep`. strict drops prices of more than two
     decimals; round rounds them half up. Others that are no number, or lack a symbol, are dropped."""
-    p = raw.select(F.from_json(value, schemas.PRICE).alias("p"), *keep).select("p.*", *keep)
+    p = _fields(raw, value, ("symbol", "price", "event_time"), keep)
     cents = S.exact_cents(F.col("price")) if mode == "strict" else S.rounded_cents(F.col("price"))
     priced = p.withColumn("price_cents", cents).filter("symbol IS NOT NULL AND price_cents IS NOT NULL")
-    return priced.select("symbol", S.cents_to_money("price_cents").alias("price"), "price_cents", F.coalesce("event_time", F.lit(0)).cast("bigint").alias("event_time"), *keep)
+    return priced.select("symbol", S.cents_to_money("price_cents").alias("price"), "price_cents", F.coalesce(F.col("event_time").try_cast("bigint"), F.lit(0)).cast("bigint").alias("event_time"), *keep)
 
 
 def counted(raw: DataFrame, name: str, value: str = "value") -> tuple[DataFrame, Observation]:

@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TRADES = """
 trades AS (
-  SELECT get_json_object(value, '$.trade_id') AS trade_id, get_json_object(value, '$.account') AS account,
-         get_json_object(value, '$.ticker') AS ticker,
-         coalesce(try_cast(get_json_object(value, '$.qty') AS BIGINT), 0) AS qty,
-         coalesce(try_cast(get_json_object(value, '$.event_time') AS BIGINT), 0) AS event_time
-  FROM raw_trades),
+  SELECT trade_id, account, ticker, coalesce(try_cast(qty AS BIGINT), 0) AS qty, coalesce(try_cast(event_time AS BIGINT), 0) AS event_time
+  FROM raw_trades LATERAL VIEW json_tuple(value, 'trade_id', 'account', 'ticker', 'qty', 'event_time') t AS trade_id, account, ticker, qty, event_time),
 firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY event_time, qty, account, ticker) AS rn FROM trades
                  WHERE trade_id IS NOT NULL AND account IS NOT NULL AND ticker IS NOT NULL) WHERE rn = 1)"""
@@ -20,8 +17,8 @@ POSITIONS = {
 }
 LATEST = """
 ticks AS (
-  SELECT get_json_object(value, '$.symbol') AS symbol, try_cast(get_json_object(value, '$.price') AS DECIMAL(38,18)) AS number,
-         try_cast(get_json_object(value, '$.event_time') AS BIGINT) AS event_time, seq FROM raw_prices),
+  SELECT symbol, try_cast(price AS DECIMAL(38,18)) AS number, try_cast(event_time AS BIGINT) AS event_time, seq
+  FROM raw_prices LATERAL VIEW json_tuple(value, 'symbol', 'price', 'event_time') t AS symbol, price, event_time),
 latest AS (
   SELECT symbol, max_by(struct(CAST(number AS DECIMAL(18,2)) AS price, event_time), struct(event_time, seq)) AS last
   FROM ticks WHERE symbol IS NOT NULL AND number = CAST(number AS DECIMAL(18,2)) GROUP BY symbol)"""
