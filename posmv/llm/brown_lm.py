@@ -224,7 +224,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     by = counts.mapInArrow(tally, "unit int, words long, tokens long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
     unit_words, unit_tokens = np.zeros(size, np.int64), np.zeros(size, np.int64)
     unit_words[by["unit"]], unit_tokens[by["unit"]] = by["words"], by["tokens"]
-    return Model(head, units, exchange(bigrams), bigrams, unit_words, unit_tokens), counts, int(total), int(vocabulary)
+    return Model(head, units, exchange(bigrams, CLASSES), bigrams, unit_words, unit_tokens), counts, int(total), int(vocabulary)
 
 
 def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -79,18 +79,21 @@ def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
     numbered = ranged.join(before, ["__src", "__range"]).withColumn("__no", F.col("__before") + F.row_number().over(Window.partitionBy("__src", "__range").orderBy("__key", doc_id)) - 1)
 
     # At most parts + 1 row for each source, a few long columns: small by the parameters, not by the data.
-    plan = F.broadcast(schedule(shares(counts, weights, parts)).select(F.col("src").alias("__s"), "n", "period", "turn", "at"))
+    plan = F.broadcast(schedule(shares(counts, weights, parts)).select(F.col("src").alias("__s"), F.col("period").alias("__period"), F.col("turn").alias("__turn"), F.col("at").alias("__at")))
     sizes = F.broadcast(shares(counts, weights, parts).select(F.col("src").alias("__z"), F.col("n").alias("src_parts")))
     blocked = numbered.withColumn("block", F.expr(f"__no div {block_size}L")).join(sizes, F.col("__src") == F.col("__z"))
-    timed = blocked.join(plan, (F.col("__src") == F.col("__s")) & (F.expr("block % src_parts") == F.col("turn")))
-    return timed.select(*own, "src_parts", "period", "block", F.expr("(block div src_parts) * period + at").alias("slot"), F.expr(f"__no % {block_size}L").alias("place"))
+    timed = blocked.join(plan, (F.col("__src") == F.col("__s")) & (F.expr("block % src_parts") == F.col("__turn")))
+    slot = F.expr("(block div src_parts) * __period + __at").alias("slot")
+    return timed.select(*own, "src_parts", F.col("__period").alias("period"), "block", slot, F.expr(f"__no % {block_size}L").alias("place"))
 
 
 def in_mixed_order(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs, with its columns alone, in partitions that follow the mixed order."""
-    mixed = mix_sources(docs, **kw)
+    named = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    apart = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
+    mixed = mix_sources(apart, source=named["source"], doc_id=named["doc_id"], **kw)
     mixed = mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return mixed.select(*docs.columns)
+    return mixed.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 #: The same in SQL, with recursion over the slots of a period.
