@@ -162,7 +162,7 @@ class ByteBPE:
                 offer(before[i])
         return np.array([self.ranks[p] for p in parts if p is not None], np.int32).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.chunks.encode(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -21,37 +21,20 @@ from posmv.llm.common import materialize, scratch
 
 #: The id after each document.
 END = 0
-_LATIN = 0x250
 
 
 class Library:
-    """The tokenizers library over distinct strings, with a second cache for the pieces of Latin text."""
+    """The tokenizers library over distinct chunks."""
 
-    def __init__(self, path: str, cache_size: int = 200_000):
-        import public_tokenizers
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.cache_size = cache_size
-        self.chunks = ChunkEncoder(self.encode_many, cache_size)
-
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.chunks = ChunkEncoder(self.encode_many)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        # The pattern's classes are the same in both libraries for Latin letters; other text goes in whole.
-        pieces = [self.split(t) if max(t) < chr(_LATIN) else [t] for t in texts]
-        new = set().union(*pieces) - self.known.keys() if pieces else set()
-        if len(self.known) + len(new) > self.cache_size:
-            self.known = {}
-            new = set().union(*pieces)
-        fresh = sorted(new)
-        self.known.update(zip(fresh, self.ask(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @functools.cache
@@ -74,8 +57,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, doc_i
     file = tokenizer or default_tokenizer()
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    end = np.array([END], np.int32).tobytes()
-    tokens = rows.mapInArrow(lambda batches: encode_batches(batches, load(file).chunks, end), f"doc_id {kind}, ids array<int>")
+    tokens = rows.mapInArrow(lambda batches: encode_batches(batches, load(file).chunks, END), f"doc_id {kind}, ids array<int>")
     (
         tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", rows_in_index).option("orc.stripe.size", stripe_mb << 20).option("orc.compress", "ZSTD").orc(path)
