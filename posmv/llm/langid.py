@@ -35,25 +35,27 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Hashes of the n-grams of the lower-cased letters, with one space for anything between; none without a letter."""
+def grams(text: str | None, block: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of the lower-cased letters, with one space for anything between, a block of the text at
+    a time; none without a letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
-        return np.empty(0, np.uint64)
-    codes = np.concatenate([[0], np.where(letter, codes, 0), [0]]).astype(np.uint64)
+        return
+    codes = np.concatenate([[0], np.where(letter, codes, 0), [0]]).astype(np.uint32)
     some = codes != 0
     codes = codes[some | np.concatenate([[True], some[:-1]])]
-    out, h = [], codes + np.uint64(1)
-    for n in range(2, max(SIZES) + 1):
-        if len(codes) < n:
-            break
-        h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(1)
-        if n in SIZES:
-            x = (h ^ np.uint64(n)) * _MULT
-            x ^= x >> np.uint64(32)
-            out.append(x * _MULT)
-    return np.concatenate(out)
+    for k in range(0, len(codes), block):
+        part = codes[k : k + block + max(SIZES) - 1].astype(np.uint64)
+        h = part + np.uint64(1)
+        for n in range(2, max(SIZES) + 1):
+            if len(part) < n:
+                break
+            h = h[:-1] * np.uint64(0x100000001B3) + part[n - 1 :] + np.uint64(1)
+            if n in SIZES:
+                x = (h[:block] ^ np.uint64(n)) * _MULT
+                x ^= x >> np.uint64(32)
+                yield x * _MULT
 
 
 class Filter:
@@ -78,15 +80,15 @@ class Filter:
         return functools.reduce(np.bitwise_and, (self.table[slot] for slot in self._slots(hashes)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        hashes = grams(text)
-        if not len(hashes) or not self.languages:
-            return UND, 0.0
-        hits = np.zeros(len(self.languages))
-        for k in range(0, len(hashes), 1 << 18):
-            masks = self.masks(hashes[k : k + (1 << 18)])
+        hits, total = np.zeros(len(self.languages)), 0
+        for hashes in grams(text):
+            total += len(hashes)
+            masks = self.masks(hashes)
             for l in range(len(self.languages)):
                 hits[l] += np.count_nonzero(masks[:, l // 64] & (np.uint64(1) << np.uint64(l % 64)))
-        share = np.clip((hits / len(hashes) - self.false) / (1 - self.false), 0, 1)
+        if not total or not self.languages:
+            return UND, 0.0
+        share = np.clip((hits / total - self.false) / (1 - self.false), 0, 1)
         best = int(share.argmax())
         return self.languages[best], float(share[best])
 
@@ -102,10 +104,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: st
     drawn = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 500_000):
             by: dict[str, list[np.ndarray]] = {}
             for l, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                by.setdefault(l, []).append(grams(t))
+                by.setdefault(l, [np.empty(0, np.uint64)]).extend(grams(t))
             for l, hashes in by.items():
                 gram, n = np.unique(np.concatenate(hashes), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])

@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posmv.llm.chunks import Hashes
 from posmv.llm.common import materialize, scratch, slices
 
 WINDOW, GRAM = 50, 8
-_M, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
+_Q = 0xD1B54A32D192ED03
 _LAST = 2**63 - 1
 
 
@@ -43,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int, base: int = _Q) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below size."""
     out = []
     for b in (base, pow(base, -1, 2**64)):
@@ -53,14 +54,14 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each span, whatever its place."""
-    power, inverse = _powers(base, max(1 << 12, 1 << (len(values) + 1).bit_length()))
+    power, inverse = _powers(max(1 << 12, 1 << (len(values) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
     return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M))
+_hash = Hashes()
 
 
 class Words:
@@ -84,9 +85,9 @@ def occurrences(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     n = len(words.list)
     if n < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    each = _spans(_BYTES[np.frombuffer(words.joined, np.uint8)], words.starts, words.ends, _M)
+    each, _ = _hash(np.frombuffer(words.joined + b" ", np.uint8), words.starts, words.ends + 1 - words.starts)
     at = np.arange(n - gram + 1)
-    hashes = _spans(each, at, at + gram, _Q)
+    hashes = _spans(each, at, at + gram)
     # the place of the least of each `wide` hashes, the first of equals
     wide, least, span = window - gram + 1, at, 1
     while span * 2 <= wide:
