@@ -69,3 +69,17 @@ class KeyedTable:
                 fs.delete(p, True)
         fs.delete(path(f"{self.path}/b={upto}"), True)
         fs.rename(path(temp), path(f"{self.path}/b={upto}"))
+
+
+def broker_options(servers: str, topic: str, guarantee: str = "exactly-once", prefix: str = "posmv", more: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of the broker's writer. Its records may come twice after a failure, so a reader takes the last value of
+    each key; `none` does not wait for replicas."""
+    found = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.client.id": f"{prefix}-{topic}"}
+    found["kafka.acks"] = "0" if guarantee == "none" else "all"
+    return found | {f"kafka.{k}": v for k, v in (more or {}).items()}
+
+
+def start_topic(rows: DataFrame, options: dict[str, str], checkpoint: str, trigger: dict):
+    """key, value rows of a stream in update mode to a topic; needs the broker's package on the class path."""
+    writer = rows.writeStream.format("kafka").outputMode("update").options(**options)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
