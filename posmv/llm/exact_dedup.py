@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posmv.llm.common import ASCII_SPACE, materialize, scratch
+from posmv.llm.common import ASCII_SPACE, materialize
 
 
 def normalised(text: str) -> Column:
@@ -59,9 +59,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("depth", "bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    path = scratch(docs.sparkSession, "exact-buckets")
-    chains.repartitionByRange(F.expr(f"bucket << ({max_depth} - depth)"), "h").sortWithinPartitions("bucket", "h").write.parquet(path)
-    buckets = docs.sparkSession.read.schema(chains.schema).parquet(path)
+    buckets = materialize(chains.repartitionByRange(F.expr(f"bucket << ({max_depth} - depth)"), "h").sortWithinPartitions("bucket", "h"), "exact-buckets")
 
     once = entries.groupBy("doc_id", "h", "text_sha256").agg(F.count("*").alias("times"))
     found = once.join(buckets, ["h", "text_sha256"])

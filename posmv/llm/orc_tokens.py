@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posmv.llm.chunks import ChunkEncoder, encode_batches
-from posmv.llm.common import materialize, scratch
+from posmv.llm.common import delete_at_end, materialize, scratch
 
 #: The id after each document.
 END = 0
@@ -99,4 +99,5 @@ def token_offsets(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "tokens-orc")
     write_tokens(docs, path, tokenizer)
+    delete_at_end(spark, path)
     return measure(spark, path)

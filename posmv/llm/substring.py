@@ -26,11 +26,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posmv.llm.chunks import Hashes
-from posmv.llm.common import materialize, scratch, slices
+from posmv.llm.common import materialize, slices
 
 WINDOW, GRAM = 50, 8
 _Q = 0xD1B54A32D192ED03
@@ -128,8 +128,8 @@ def find_occurrences(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of fp, digest, first (o, x, a), n in the shared folder."""
 
-    def __init__(self, spark: SparkSession, max_runs: int = 3):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
+    def __init__(self, max_runs: int = 3):
+        self.max_runs, self.runs = max_runs, []
 
     def entries(self) -> DataFrame:
         """All entries; each (fp, digest) is in one run only."""
@@ -153,9 +153,7 @@ class FingerprintIndex:
     def _write(self, entries: DataFrame) -> None:
         if len(self.runs) >= self.max_runs:
             entries, self.runs = entries.unionByName(self.entries()), []
-        path = scratch(self.spark, "substring-run")
-        entries.repartitionByRange("fp").sortWithinPartitions("fp", "digest").write.parquet(path)
-        self.runs.append(self.spark.read.schema(entries.schema).parquet(path))
+        self.runs.append(materialize(entries.repartitionByRange("fp").sortWithinPartitions("fp", "digest"), "substring-run"))
 
 
 def shared_windows(entries: DataFrame, keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -190,11 +188,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     doc_id. Null text has no words. A null doc_id comes after all others; rows that repeat a doc_id are not
     smaller than each other. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     keyed = _keyed(docs, doc_id, text)
     cuts = keyed.agg(F.percentile_approx("o", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex()
     covered = []
     for low, high in zip(bounds, bounds[1:]):
         part = keyed

@@ -366,7 +366,7 @@ def test_substring_of_repetitive_texts(spark):
 
 
 def test_substring_index_compacts(spark):
-    index = substring.FingerprintIndex(spark, max_runs=2)
+    index = substring.FingerprintIndex(max_runs=2)
     for k in range(5):
         found = spark.createDataFrame([(k, 0, f, f, 0, 1) for f in (k, k + 1)], "o long, x long, fp long, digest long, a int, n int")
         covered = index.add(found)
