@@ -118,9 +118,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: st
     top = F.max("rate").over(Window.partitionBy("gram"))
     good = rate.withColumn("top", top).filter((F.col("n") >= LEAST) & (F.col("rate") * RATIO >= F.col("top")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    chosen = good.withColumn("rank", rank).filter(F.col("rank") <= GRAMS).select("lang", "gram").toPandas()
+    chosen = good.withColumn("rank", rank).filter(F.col("rank") <= GRAMS).select("lang", "gram").toArrow()
     languages = sorted(counts, key=lambda l: (-counts[l], l))
-    return Filter(languages, [chosen.loc[chosen["lang"] == l, "gram"].to_numpy(np.int64).view(np.uint64) for l in languages])
+    lang, gram = np.array(chosen.column("lang").to_pylist(), object), chosen.column("gram").to_numpy().view(np.uint64)
+    return Filter(languages, [gram[lang == l] for l in languages])
 
 
 def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:

@@ -174,7 +174,7 @@ def links(distinct: DataFrame, distance: int = 2, shard: int = SHARD) -> DataFra
     `distance` bits, directly or through others."""
     spark = distinct.sparkSession
     total = distinct.count()
-    taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
     nodes = fit(taken, max(1, -(-total // shard)))
     tree = spark.sparkContext.broadcast(nodes)  # at most SAMPLE / 8 nodes of four numbers
 
