@@ -17,8 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 class KeyedTable:
     """The newest row of each key. A micro-batch writes the keys it changed under its own number, so a batch that
-    is replayed replaces its rows instead of adding to them; the last number that has a key wins. Old batches
-    are folded into one when there are more than `fold_after`."""
+    is replayed replaces its rows instead of adding to them; the last number that has a key wins. Every
+    `fold_after` batches those before the current one, which cannot be replayed any more, are folded into one."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], guarantee: str = "exactly-once", fold_after: int = 64):
         self.spark, self.path, self.schema, self.keys, self.guarantee, self.fold_after = spark, path, schema, keys, guarantee, fold_after
@@ -43,6 +43,8 @@ class KeyedTable:
         # at-least-once: a replay adds the rows again; the newest still wins, but the log has them twice
         mode = "append" if self.guarantee == "at-least-once" else "overwrite"
         rows.write.mode(mode).parquet(f"{self.path}/b={batch}")
+        if batch > 0 and batch % self.fold_after == 0:
+            self.fold(batch - 1)
 
     def log(self, before: int | None = None) -> DataFrame:
         found = self.spark.read.schema(f"{self.schema}, batch BIGINT").option("recursiveFileLookup", "true").parquet(self.path)
@@ -55,7 +57,7 @@ class KeyedTable:
         return last.select(*[F.col(c) if c in self.keys else F.col(f"v.{c}") for c in self.columns])
 
     def fold(self, upto: int) -> None:
-        """Replace all batches up to one by their state. Only batches that cannot be replayed may be folded."""
+        """Replace all batches up to one by their state, if there are more than fold_after."""
         fs, where = self._fs()
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         old = [s.getPath() for s in fs.listStatus(where) if int(s.getPath().getName().partition("=")[2]) <= upto]

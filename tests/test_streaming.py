@@ -77,12 +77,14 @@ def test_replay_replaces(own, tmp_path):
 
 def test_fold(own, tmp_path):
     table = KeyedTable(own, str(tmp_path / "t"), schemas.TICKER_POSITION, ("ticker",), fold_after=2)
-    for i in range(4):
+    for i in range(8):
         table.upsert(own.createDataFrame([("A", i, i), (f"K{i}", i, i)], schemas.TICKER_POSITION), i)
-    want = rows(table.read(), "ticker", "net_qty")
-    table.fold(2)
-    assert rows(table.read(), "ticker", "net_qty") == want
-    assert table.log().select("batch").distinct().count() == 2
+    assert rows(table.read(), "ticker", "net_qty") == sorted([("A", 7)] + [(f"K{i}", i) for i in range(8)])
+    assert rows(table.read(7), "ticker", "net_qty") == sorted([("A", 6)] + [(f"K{i}", i) for i in range(7)])
+    assert table.log().select("batch").distinct().count() <= 4
+    before = table.log().count()
+    table.fold(0)
+    assert table.log().count() == before
 
 
 def test_dedup_within_time(own, tmp_path):
