@@ -80,6 +80,20 @@ def floor_rank(df: DataFrame, value: str, by: tuple[str, ...], points: tuple[flo
     return placed.groupBy(*by).agg(F.max("n").alias("n"), *each)
 
 
+def latencies(log: DataFrame, sent: str, as_of: str, limit_ms: int = 600_000) -> DataFrame:
+    """log with latency_ms from as_of to the time of sending; records without a value, from the future or older than
+    limit_ms (clocks apart, or history that is replayed) are left out."""
+    late = log.withColumn("latency_ms", F.col(sent) - F.col(as_of))
+    return late.filter((F.col("latency_ms") >= 0) & (F.col("latency_ms") < limit_ms))
+
+
+def freshness(conflated: DataFrame, latest: DataFrame) -> DataFrame:
+    """symbol, conflated, final, behind_ms: symbols whose conflated price is older than their final raw price."""
+    a = conflated.select("symbol", F.col("price").alias("conflated"), F.col("event_time").alias("seen"))
+    b = latest.select("symbol", F.col("price").alias("final"), "event_time")
+    return a.join(b, "symbol").filter("seen < event_time").select("symbol", "conflated", "final", (F.col("event_time") - F.col("seen")).alias("behind_ms"))
+
+
 def tick_gaps(prices: DataFrame) -> DataFrame:
     """symbol, gap_ms: time from each tick to the next of its symbol."""
     w = Window.partitionBy("symbol").orderBy("event_time", "seq")
@@ -120,6 +134,11 @@ def total_rate(mean_per_task: float, tasks: int) -> float:
     return mean_per_task * tasks
 
 
+def calibrated(measured: float, known: float, band: float = 0.2) -> bool:
+    """Whether a measured rate agrees with one that is known by other means."""
+    return known > 0 and abs(measured / known - 1) <= band
+
+
 def drain_capacity(backlog: list[tuple[float, float]], live_rate: float) -> float:
     """Records a second from samples (second, records still waiting): the slope's fall plus what came in."""
     n = len(backlog)

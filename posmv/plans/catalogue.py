@@ -448,6 +448,32 @@ def latency_percentiles(spark, d):
     return checks.floor_rank(checks.tick_gaps(fixtures.prices(spark, d)), "gap_ms", ("symbol",))
 
 
+@query(_sql(_P, _tumble(HOUR), f"""l AS (SELECT symbol, window_start + {HOUR} - event_time AS latency_ms FROM tumbled),
+r AS (SELECT symbol, latency_ms, row_number() OVER (PARTITION BY symbol ORDER BY latency_ms) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n FROM l WHERE latency_ms BETWEEN 0 AND 599999)
+SELECT symbol, max(n) AS n, max(latency_ms) FILTER (place = least(floor(0.5 * n), n - 1)) AS q50, max(latency_ms) FILTER (place = least(floor(0.9 * n), n - 1)) AS q90, max(latency_ms) FILTER (place = least(floor(0.99 * n), n - 1)) AS q99 FROM r GROUP BY symbol"""))
+def end_to_end_latency(spark, d):
+    """From a tick to the end of the window that sends it; more than ten minutes do not count."""
+    sent = px.tumble_last(fixtures.prices(spark, d), HOUR)
+    return checks.floor_rank(checks.latencies(sent, "window_end", "event_time"), "latency_ms", ("symbol",))
+
+
+@query(_sql(_P, _L, _tumble(DAY), f"""closed AS (SELECT symbol, arg_max(price, window_start) AS conflated, max(event_time) AS seen FROM tumbled WHERE window_start + {DAY} <= (SELECT max(event_time) FROM prices) - 1000 GROUP BY symbol)
+SELECT symbol, conflated, price AS final, event_time - seen AS behind_ms FROM closed JOIN latest USING (symbol) WHERE seen < event_time"""))
+def freshness_warn(spark, d):
+    """Symbols whose last closed window of a day is behind their final price."""
+    prices = fixtures.prices(spark, d)
+    end = prices.agg((F.max("event_time") - 1000).alias("watermark"))
+    closed = px.tumble_last(prices, DAY).join(F.broadcast(end)).filter(F.col("window_end") <= F.col("watermark"))
+    return checks.freshness(px.latest_from_windows(closed), px.latest(prices))
+
+
+@query(_sql(_P, "SELECT symbol, count(*) AS samples, round(avg(price), 6)::DECIMAL(18,6) AS mean, max(price) AS peak FROM prices GROUP BY symbol"))
+def sampled_metrics(spark, d):
+    """Mean and largest of sampled values."""
+    found = fixtures.prices(spark, d).groupBy("symbol").agg(F.count("*").alias("samples"), F.sum("price").alias("total"), F.max("price").alias("peak"))
+    return found.select("symbol", "samples", F.round(F.col("total").cast("decimal(28,6)") / F.col("samples"), 6).cast("decimal(18,6)").alias("mean"), "peak")
+
+
 @query(_sql(_P, _GAP, "SELECT count(*) AS n, count(*) FILTER (gap_ms > 2000) AS beyond_2000, count(*) FILTER (gap_ms > 5000) AS beyond_5000, count(*) FILTER (gap_ms > 10000) AS beyond_10000 FROM g"))
 def ticks_beyond(spark, d):
     return checks.beyond(checks.tick_gaps(fixtures.prices(spark, d)), "gap_ms")

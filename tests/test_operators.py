@@ -240,6 +240,7 @@ def test_rings_and_trails(spark):
 def test_harness_arithmetic():
     assert checks.reachable(20, 10) == {"billed": 6.0, "waste": 0.5, "ok": False}
     assert checks.total_rate(2.5, 4) == 10
+    assert checks.calibrated(110, 100) and not checks.calibrated(130, 100) and not checks.calibrated(1, 0)
     assert checks.drain_capacity([(0, 1000), (10, 900), (20, 800)], 5) == pytest.approx(15)
     assert [checks.lag_trend(100, x) for x in (110, 100, 80)] == ["growing", "flat", "shrinking"]
 
