@@ -44,14 +44,16 @@ _BLOCK = frozenset(
     h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 _DROP = frozenset("nav footer aside form menu button dialog head label".split())
-#: Words in class, id or role that mark an element as boilerplate.
+#: Words in class, id or role that mark an element as boilerplate; those of the second list also name the layout around
+#: an article, which is then kept. The third list turns either around ("no-sidebar", "ad-free").
 _HINTS = frozenset(
-    """ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies
-    consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup login nav navbar
-    navigation menu breadcrumb breadcrumbs sidebar aside widget widgets related recommended recommendations share sharing social
-    footer masthead comment comments discussion disqus reply replies respond form search searchbox toolbar pagination pager
-    copyright disclaimer complementary contentinfo""".split()
+    """ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies
+    consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup login related
+    recommended recommendations share sharing social comment comments discussion disqus reply replies respond form
+    pagination pager copyright disclaimer breadcrumb breadcrumbs""".split()
 )
+_LAYOUT = frozenset("banner nav navbar navigation menu sidebar aside widget widgets footer masthead search searchbox toolbar complementary contentinfo".split())
+_TURNED = frozenset("no free without has with open closed".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset(("article", "main"))
 
@@ -66,20 +68,28 @@ class Block:
         self.text, self.links, self.inside, self.dropped, self.heading = text, links, inside, dropped, heading
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element begins boilerplate, and whether it begins the main text."""
+def _marks(tag: str, attrs: str) -> tuple[int, bool]:
+    """Whether an element begins boilerplate (2; 1 if by its layout alone), and whether it begins the main text."""
     main = tag in _MAIN
+    by_tag = 2 if tag in _DROP else 0
     if not attrs:
-        return tag in _DROP, main
-    words: set[str] = set()
+        return by_tag, main
+    level = 0
     for name, value in _ATTR.findall(attrs):
         value = value.strip("\"'")
         if (name.lower() == "role" and value == "main") or (name.lower() == "itemprop" and value == "articleBody"):
             main = True
-        else:
-            words.update(w.lower() for w in _NAME.findall(value))
-    hinted = tag not in ("html", "body") and not words.isdisjoint(_HINTS)
-    return tag in _DROP or hinted or bool(_HIDDEN.search(attrs)), main and not hinted
+            continue
+        names = value.split()
+        for one in names[:1] if main else names:  # further names of an article tell its state, not what it is
+            words = {w.lower() for w in _NAME.findall(one)}
+            if words.isdisjoint(_TURNED):
+                level = max(level, 0 if words.isdisjoint(_HINTS) else 2, 0 if words.isdisjoint(_LAYOUT) else 1)
+    if tag in ("html", "body"):
+        level = 0
+    if _HIDDEN.search(attrs):
+        level = 2
+    return max(by_tag, level), main and level < 2
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,14 +98,14 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = 0
     # Open elements as (tag, dropped here or above, in the main text, in a link); p and li end at their like.
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
                 _, dropped, inside, _ = stack[-1]
-                found.append(Block(text, links, inside, dropped, any(t in _HEADINGS for t, *_ in stack)))
+                found.append(Block(text, links, inside, dropped > 0, any(t in _HEADINGS for t, *_ in stack)))
             parts.clear()
         links = 0
 
@@ -156,12 +166,14 @@ def blocks(page: str) -> list[Block]:
             drop, main = _marks(tag, attrs)
             _, dropped, inside, linked = stack[-1]
             if tag == "header" and not inside:
-                drop = True
+                drop = 2
+            if main and dropped < 2:
+                dropped = 0
             if tag in _BLOCK:
-                stack.append((tag, dropped or drop, inside or (main and not dropped), linked))
+                stack.append((tag, max(dropped, drop), inside or (main and dropped < 2), linked))
             elif tag == "a":
                 stack.append((tag, dropped, inside, True))
-            elif drop and tag in ("span", "ins", "button", "label"):
+            elif drop == 2 and tag in ("span", "ins", "button", "label"):
                 # An inline element of boilerplate is a block of its own.
                 flush()
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)

@@ -571,6 +571,10 @@ STORY = "The cat of the house was in the garden and it sat on the wall that is b
     (f"<div class=menu><a href=1>Home</a> <a href=2>News</a></div><div><h2>Head</h2><p>{STORY * 3}</p><p>Short one.</p><p>{STORY * 3}</p></div><div>Copyright 2020 the site</div>", f"Head {(STORY * 3).strip()} Short one. {(STORY * 3).strip()}"),
     ("<article><p>text</p><p><a href=1>share</a> <a href=2>tweet</a></p></article>", "text"),
     ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+    ("<div class='content-sidebar-wrap'><article class='post comments-open'><p>in layout</p></article><div class=sidebar><p>side</p></div></div>", "in layout"),
+    ("<div class='no-sidebar ad-free'><article><p>turned</p></article></div>", "turned"),
+    ("<article><p>own</p></article><ol class=comments><li><article><p>reader</p></article></li></ol>", "own"),
+    ("<article><p>a</p><div hidden><p>b</p></div><p aria-hidden=true>c</p><p>d</p></article>", "a d"),
     ("<article><header><h1>In</h1></header><p>x</p></article><header>Out</header>", "In x"),
 ])
 def test_main_text(page, want):
