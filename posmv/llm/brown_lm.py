@@ -102,9 +102,9 @@ def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
-    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(size, size)
 
 
@@ -202,13 +202,26 @@ class Model:
         return len(words) + 1, known, float(logs), float(rest), Counter(others)
 
 
+def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The words of the largest counts, the largest first: as many as there are down to a count at which they are at
+    most `most`. Only a table of how many words have each count, and those words, reach the driver."""
+    table = counts.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    n, words = (table.column(c).to_numpy() for c in ("n", "words"))
+    order = np.argsort(-n)
+    fit = order[np.cumsum(words[order]) <= most]
+    if not len(fit):
+        return {}
+    top = counts.filter(F.col("n") >= int(n[fit[-1]])).toArrow()
+    pairs = zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)
+    return dict(sorted(pairs, key=lambda p: (-p[1], p[0])))
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     """The model from all texts of docs (column text), the table of all word counts, N and V."""
     spark = docs.sparkSession
     counts = materialize(word_counts(docs), "word-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    head = {bytes(w): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
+    head = most_frequent(counts, HEAD)
     units = Units([w for w in head if w != END][:UNITS])
     bigrams = unit_bigrams(docs, units)
     shared, size = spark.sparkContext.broadcast(units), units.size
@@ -221,9 +234,9 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
             np.add.at(held, unit, batch.column("n").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(words), pa.array(held)], ["unit", "words", "tokens"])
 
-    by = counts.mapInArrow(tally, "unit int, words long, tokens long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
+    by = counts.mapInArrow(tally, "unit int, words long, tokens long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toArrow()
     unit_words, unit_tokens = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    unit_words[by["unit"]], unit_tokens[by["unit"]] = by["words"], by["tokens"]
+    unit_words[by.column("unit").to_numpy()], unit_tokens[by.column("unit").to_numpy()] = by.column("words").to_numpy(), by.column("tokens").to_numpy()
     return Model(head, units, exchange(bigrams, CLASSES), bigrams, unit_words, unit_tokens), counts, int(total), int(vocabulary)
 
 
