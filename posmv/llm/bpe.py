@@ -200,27 +200,39 @@ def bpe_encode(docs: DataFrame, ranks: str | None = None, doc_id: str = "doc_id"
     return read.mapInArrow(lambda batches: encode_batches(batches, load(path).chunks), f"doc_id {kind}, ids array<int>")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], decode) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) with decoded, the bytes of the ids."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            ids = part.column("ids")
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            null = ids.is_null().to_pylist()
+            found = [None if null[i] else decode(values[offsets[i] : offsets[i + 1]]) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
 def bpe_decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """Return the columns of `encoded` (doc_id, ids) and decoded, the bytes of the ids; null ids give null."""
     path = ranks or default_ranks()
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, load(path).decode), f"doc_id {kind}, ids array<int>, decoded binary")
+
+
+def bpe_round_trip(docs: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode, by one worker for each task instead of one for each step."""
+    path = ranks or default_ranks()
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load(path).decode
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = part.column("ids")
-                offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-                null = ids.is_null().to_pylist()
-                found = [None if null[i] else decode(values[offsets[i] : offsets[i + 1]]) for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
+        coder = load(path)
+        return _decoded(encode_batches(batches, coder.chunks), coder.decode)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return read.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded documents."""
-    both = bpe_decode(bpe_encode(docs, ranks), ranks)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_round_trip(docs, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

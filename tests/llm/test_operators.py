@@ -198,6 +198,9 @@ def test_bpe_query(docs, given, empty, reference):
         want[(r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())] += 1
     assert got == want
     assert bpe.digests(empty).count() == 0
+    steps = bpe.bpe_decode(bpe.bpe_encode(docs)).select("doc_id", F.hex("decoded").alias("d"), F.size("ids").alias("n"))
+    whole = bpe.bpe_round_trip(docs).select("doc_id", F.hex("decoded").alias("d"), F.size("ids").alias("n"))
+    assert Counter(map(tuple, steps.collect())) == Counter(map(tuple, whole.collect()))
 
 
 def test_equal_first_hashes_are_told_apart():
