@@ -32,8 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and whether their decoding gives the text back."""
-    both = bpe.bpe_decode(bpe.bpe_encode(docs))
-    return both.selectExpr("doc_id", "ids", "cast(size(ids) as bigint) AS n_tokens", "sha2(decoded, 256) AS decoded_sha256")
+    return bpe.bpe_round_trip(docs).selectExpr("doc_id", "ids", "cast(size(ids) as bigint) AS n_tokens", "sha2(decoded, 256) AS decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
