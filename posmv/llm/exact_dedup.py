@@ -33,8 +33,9 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     part = F.expr(f"shiftrightunsigned(prefix, {max_depth} - depth)")
     fill = levels.groupBy("depth", part.alias("part")).agg(F.sum("n").alias("held"))
     fits = (F.col("held") <= capacity) | (F.col("depth") == max_depth)
+    # at most 2**(max_depth + 1) rows
     return (
-        levels.withColumn("part", part).join(fill.filter(fits), ["depth", "part"])
+        levels.withColumn("part", part).join(F.broadcast(fill.filter(fits)), ["depth", "part"])
         .groupBy("prefix").agg(F.min("depth").alias("depth"))
     )
 
