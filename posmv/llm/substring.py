@@ -13,7 +13,7 @@ occurrence are covered at once. The rest of the batch becomes a new run, and whe
 
 Occurrences of one fingerprint with different digests may still share some windows (at the ends of a repeated
 passage). Only there, and only for the first document of each digest, windows are compared one by one, by
-a digest of each window. Copies collapse to one row for each digest before they are shuffled, so a
+a digest of each window, at every place where that document has the occurrence. Copies collapse to one row for each digest before they are shuffled, so a
 passage that a third of the documents share costs its task one row for each input task.
 """
 
@@ -130,6 +130,8 @@ class FingerprintIndex:
 
     def __init__(self, max_runs: int = 3):
         self.max_runs, self.runs = max_runs, []
+        #: fp, o, x, a, n of the further places where the first document of a digest has it, of each batch.
+        self.again = []
 
     def entries(self) -> DataFrame:
         """All entries; each (fp, digest) is in one run only."""
@@ -138,7 +140,7 @@ class FingerprintIndex:
     def add(self, found: DataFrame) -> DataFrame:
         """Add a batch's occurrences and return those that are covered: o, x, a, n. All o of a batch are larger
         than those of earlier batches."""
-        new = found.groupBy("fp", "digest").agg(F.min(F.struct("o", "x", "a", "n")).alias("first"), F.max("o").alias("last"))
+        new = found.groupBy("fp", "digest").agg(F.min(F.struct("o", "x", "a", "n")).alias("first"), F.max("o").alias("last"), F.count("*").alias("times"))
         if self.runs:
             held = self.entries().select("fp", "digest", F.col("first.o").alias("owner"))
             new = new.join(held, ["fp", "digest"], "left")
@@ -146,9 +148,12 @@ class FingerprintIndex:
             new = new.withColumn("owner", F.lit(None).cast("long"))
         new = materialize(new, "substring-batch")
         self._write(new.filter("owner IS NULL").select("fp", "digest", "first"))
-        shared = new.select("fp", "digest", F.coalesce("owner", "first.o").alias("owner"), "last").filter("owner < last")
-        covered = found.join(shared.drop("last"), ["fp", "digest"]).filter("o > owner").select("o", "x", "a", "n")
-        return materialize(covered, "substring-covered")
+        shared = new.select("fp", "digest", F.coalesce("owner", "first.o").alias("owner"), F.col("first.x").alias("fx"), F.col("first.a").alias("fa"), "last", "times").filter("owner < last OR times > 1")
+        # What is not covered is the owner's own: its first place is in the entry.
+        matched = found.join(shared, ["fp", "digest"]).filter("o > owner OR x != fx OR a != fa")
+        matched = materialize(matched.select(F.expr("if(o = owner, fp, null)").alias("own"), "o", "x", "a", "n"), "substring-covered")
+        self.again.append(matched.filter("own IS NOT NULL").select(F.col("own").alias("fp"), "o", "x", "a", "n"))
+        return matched.filter("own IS NULL").select("o", "x", "a", "n")
 
     def _write(self, entries: DataFrame) -> None:
         if len(self.runs) >= self.max_runs:
@@ -156,11 +161,12 @@ class FingerprintIndex:
         self.runs.append(materialize(entries.repartitionByRange("fp").sortWithinPartitions("fp", "digest"), "substring-run"))
 
 
-def shared_windows(entries: DataFrame, keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+def shared_windows(entries: DataFrame, again: DataFrame, keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of the first documents of each digest, the windows that also start in a smaller one: o, x, a, n = 1."""
     several = entries.groupBy("fp").agg(F.min("first.o").alias("lo"), F.max("first.o").alias("hi")).filter("lo < hi").select("fp")
-    asked = entries.join(several, "fp").select("first.o", "first.x", F.struct("fp", "first.a", "first.n").alias("at"))
-    lists = asked.groupBy("o", "x").agg(F.collect_list("at").alias("at"))
+    places = entries.select("fp", "first.o", "first.x", "first.a", "first.n").unionByName(again)
+    asked = places.join(several, "fp").select("o", "x", F.struct("fp", "a", "n").alias("at"))
+    lists = asked.groupBy("o", "x").agg(F.collect_set("at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -200,7 +206,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         if high is not None:
             part = part.filter(F.col("o") <= high)
         covered.append(index.add(materialize(find_occurrences(part, window), "substring-occurrences")))
-    spans = functools.reduce(DataFrame.unionByName, covered).unionByName(shared_windows(index.entries(), keyed, window))
+    spans = functools.reduce(DataFrame.unionByName, covered).unionByName(shared_windows(index.entries(), functools.reduce(DataFrame.unionByName, index.again), keyed, window))
     lists = spans.groupBy("o", "x").agg(F.collect_list(F.struct("a", "n")).alias("at"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

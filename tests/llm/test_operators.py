@@ -368,6 +368,18 @@ def test_substring_of_repetitive_texts(spark):
     assert got == Counter(plain_removed(rows, 10))
 
 
+def test_substring_repeated_around_a_shared_passage(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        shared = passage(rng, rng.randint(14, 40))
+        block = f"{passage(rng, 30)} {shared} {passage(rng, 30)}"
+        rows += [(10 * k, f"{passage(rng, 20)} {shared} {passage(rng, 20)}", None, None, 0), (10 * k + 1, f"{block} {passage(rng, 25)} {block}", None, None, 0)]
+        rows += [(None, f"{passage(rng, 9)} {block}", None, None, 0), (10 * k + 1, f"{block} {passage(rng, 5)}", None, None, 0)]
+    got = Counter(tuple(r) for r in substring.drop_repeats(spark.createDataFrame(rows, SCHEMA), window=12, batches=2).collect())
+    assert got == Counter(plain_removed(rows, 12))
+
+
 def test_substring_index_compacts(spark):
     index = substring.FingerprintIndex(max_runs=2)
     for k in range(5):
