@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from posmv.llm import bpe, exact_dedup, langid, mixing, simhash
 from posmv.llm.common import materialize, table
@@ -31,8 +32,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, and whether their decoding gives the text back."""
-    return bpe.bpe_round_trip(docs).selectExpr("doc_id", "ids", "cast(size(ids) as bigint) AS n_tokens", "sha2(decoded, 256) AS decoded_sha256")
+    """doc_id, ids, whether their decoding gives the text back, and the row's slot and place in the mixed order, in that
+    order. Files are not read in the order in which they were written, so the places are worked out from the rows here."""
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source")).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    marked = mixed.select(F.struct("doc_id", "slot", "place").alias("doc_id"), "text")
+    return bpe.bpe_round_trip(marked).selectExpr("doc_id.doc_id", "ids", "cast(size(ids) as bigint) AS n_tokens", "sha2(decoded, 256) AS decoded_sha256", "doc_id.slot", "doc_id.place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from posmv.llm import bpe, exact_dedup
+from posmv.llm import bpe, exact_dedup, mixing
 from tests.llm.test_operators import SCHEMA, norm, plain_components, plain_fingerprint
 
 
@@ -51,6 +51,21 @@ def test_stages(spark, tmp_path):
         assert bpe.load(bpe.default_ranks()).encode([held[r.doc_id][1]])[0].tolist() == list(r.ids)
 
 
+def test_run_returns_the_mixed_order_over_several_files(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    source = {r[0]: r[3] for r in rows}
+    left = spark.createDataFrame([(r.doc_id, source[r.doc_id]) for r in got], "doc_id long, source string")
+    want = mixing.mix_sources(left).orderBy("slot", "place").collect()
+    assert [(r.doc_id, r.slot, r.place) for r in got] == [(r.doc_id, r.slot, r.place) for r in want]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
