@@ -6,7 +6,9 @@ most the node's radius, else outside. For links of at most `distance` bits the t
 pair to part at a node only if one of them lies within `distance` of the radius; so a fingerprint is the
 member of one shard and asks in every shard whose side of each radius it can reach. In a shard members and
 askers go down a further tree in the same way until few are left, which are compared by popcount. The tree over
-shards is fitted to a bounded sample of fingerprints; the sample decides only how even the shards are.
+shards is fitted to a sample of PER_SHARD fingerprints a shard; the sample decides only how even the shards are. There
+are as many shards as keep the members of one near SHARD, and MOST_SHARDS at most, so sample and tree stay below some
+20 MB; beyond SHARD * MOST_SHARDS (two thousand million) distinct fingerprints the shards grow, by 8 bytes a member.
 
 A shard returns the links of a spanning forest, not all pairs, so a large group of near copies costs no more
 than its number of distinct fingerprints. Equal fingerprints are one node throughout.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from posmv.llm.common import materialize, slices
 from posmv.llm.components import components
 
-#: Fingerprints in the sample to which the tree over shards is fitted, and members of a shard aimed at.
-SAMPLE, SHARD = 8192, 16384
+#: Members of a shard aimed at, the number of shards at most, and sampled fingerprints for each shard.
+SHARD, MOST_SHARDS, PER_SHARD = 16_384, 1 << 17, 16
 _LEAF = 96
 
 
@@ -36,7 +38,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return 0
-    hashes = np.fromiter(_shingles(tokens, words, seed, xxhash.xxh64_intdigest), np.uint64)
+    return majority(np.fromiter(_shingles(tokens, words, seed, xxhash.xxh64_intdigest), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -116,25 +122,24 @@ def visit(nodes: list, points: np.ndarray, distance: int) -> Iterator[tuple[int,
 
 
 def near_pairs(members: np.ndarray, askers: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every (member, asker) within distance of each other and not equal, by a tree built on the way down."""
+    """The places of every member and asker within distance of each other, by a tree built on the way down."""
     rng = np.random.default_rng(0)
-    stack = [(members, askers)]
+    stack = [(np.arange(len(members)), np.arange(len(askers)))]
     while stack:
         m, a = stack.pop()
         if not len(m) or not len(a):
             continue
-        split = _split(m, rng) if len(m) > _LEAF else None
+        points = members[m]
+        split = _split(points, rng) if len(m) > _LEAF else None
         if split is None:
             step = max(1, (1 << 21) // len(m))
             for k in range(0, len(a), step):
-                i, j = np.nonzero(np.bitwise_count(a[k : k + step, None] ^ m) <= distance)
-                own, other = m[j], a[k : k + step][i]
-                ok = own != other
-                if ok.any():
-                    yield own[ok], other[ok]
+                i, j = np.nonzero(np.bitwise_count(askers[a[k : k + step], None] ^ points) <= distance)
+                if len(i):
+                    yield m[j], a[k + i]
             continue
         vantage, radius, near = split
-        d = np.bitwise_count(a ^ vantage).astype(np.int64)
+        d = np.bitwise_count(askers[a] ^ vantage).astype(np.int64)
         stack.append((m[near], a[d <= radius + distance]))
         stack.append((m[~near], a[d > radius - distance]))
 
@@ -174,9 +179,11 @@ def links(distinct: DataFrame, distance: int = 2, shard: int = SHARD) -> DataFra
     `distance` bits, directly or through others."""
     spark = distinct.sparkSession
     total = distinct.count()
-    taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
-    nodes = fit(taken, max(1, -(-total // shard)))
-    tree = spark.sparkContext.broadcast(nodes)  # at most SAMPLE / 8 nodes of four numbers
+    shards = min(MOST_SHARDS, max(1, -(-total // shard)))
+    share = min(1.0, PER_SHARD * max(512, shards) / max(1, total))  # at most some 2**21 fingerprints
+    taken = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("fp").toArrow()
+    nodes = fit(np.sort(taken.column("fp").to_numpy().view(np.uint64)), shards)
+    tree = spark.sparkContext.broadcast(nodes)  # at most MOST_SHARDS nodes of four numbers
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +194,7 @@ def links(distinct: DataFrame, distance: int = 2, shard: int = SHARD) -> DataFra
     def search(key: tuple, shard_rows: pa.Table) -> pa.Table:
         fps = shard_rows.column("fp").to_numpy().view(np.uint64)
         members = fps[shard_rows.column("member").to_numpy()]
-        a, b = forest(np.sort(fps), near_pairs(members, fps, distance))
+        a, b = forest(np.sort(fps), ((members[i], fps[j]) for i, j in near_pairs(members, fps, distance)))
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, member boolean")
@@ -209,12 +216,3 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of their group; of rows that repeat it one stays,
-    and rows without an id stay where their whole group has none."""
-    found = near_dedup(docs, doc_id, text)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")).distinct()
-    tagged = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    return tagged.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -37,7 +37,7 @@ _Q = 0xD1B54A32D192ED03
 _LAST = 2**63 - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -54,11 +54,11 @@ def _powers(size: int, base: int = _Q) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each span, whatever its place."""
     power, inverse = _powers(max(1 << 12, 1 << (len(values) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
-    return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 _hash = Hashes()
@@ -67,8 +67,8 @@ _hash = Hashes()
 class Words:
     """The words of a text, joined by one space, with their places."""
 
-    def __init__(self, text: str | None):
-        self.list = (text or "").encode().split()
+    def __init__(self, text: str | bytes | None):
+        self.list = (text if isinstance(text, bytes) else (text or "").encode()).split()
         self.joined = b" ".join(self.list)
         sizes = np.fromiter(map(len, self.list), np.int64, len(self.list))
         self.ends = np.cumsum(sizes + 1) - 1
@@ -80,14 +80,19 @@ class Words:
         return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    """Of each word; there must be one."""
+    return _hash(np.frombuffer(words.joined + b" ", np.uint8), words.starts, words.ends + 1 - words.starts)[0]
+
+
 def occurrences(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """fp, first window and number of windows of each occurrence, in order."""
     n = len(words.list)
     if n < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    each, _ = _hash(np.frombuffer(words.joined + b" ", np.uint8), words.starts, words.ends + 1 - words.starts)
+    each = word_hashes(words)
     at = np.arange(n - gram + 1)
-    hashes = _spans(each, at, at + gram)
+    hashes = spans(each, at, at + gram)
     # the place of the least of each `wide` hashes, the first of equals
     wide, least, span = window - gram + 1, at, 1
     while span * 2 <= wide:

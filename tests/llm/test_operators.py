@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from posmv.llm import audio, bpe, brown_lm, chunks, components, exact_dedup, html_text, langid, mixing, orc_tokens, simhash, substring
+from posmv.llm import audio, bpe, brown_lm, chunks, components, exact_dedup, html_text, langid, mixing, near_copies, orc_tokens, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(300)]
@@ -279,9 +279,73 @@ def test_simhash(docs, given, empty):
     want = Counter((r[0], f"{f:016x}", least.get(l)) for r, f, l in zip(given, fps, label, strict=True))
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
     assert simhash.near_dedup(empty).count() == 0
-    kept = simhash.drop_near_copies(docs)
+
+
+def plain_near_groups(texts, width=5, similarity=0.8):
+    """For each text the first of its group, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or {tuple(w)})
+    label = list(range(len(sets)))
+    while True:
+        new = [min(label[j] for j in range(len(sets)) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])) for i in range(len(sets))]
+        if new == label:
+            return label
+        label = new
+
+
+def test_near_copies(spark, docs, given, empty):
+    kept = near_copies.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    order = sorted(given, key=lambda r: (r[0] is None, r[0] or 0))
+    label = plain_near_groups([r[1] for r in order])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(order[l][:2] for l in set(label))
+    assert near_copies.drop_near_copies(empty).count() == 0
+
+
+def test_near_copies_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(i, passage(rng, 30)) for i in (None, None, 1, 1, 2)]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter(rows)
+    named = [(str(r[0]), r[1]) for r in rows] + [("0", rows[0][1] + " more")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(named, "doc_id string, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter(named[1:])
+
+
+def edited(rng, text, share):
+    return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("block, nearest", [(16_384, 8), (7, 2)])
+def test_near_copies_in_large_groups(spark, monkeypatch, block, nearest):
+    """Chains and stars of edits around the threshold; blocks and rounds that are far smaller than a shard."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "NEAREST", nearest)
+    rng = random.Random(9)
+    base, rows = passage(rng, 200), []
+    rows += [edited(rng, base, 0.02) for _ in range(60)]
+    for _ in range(6):
+        text = passage(rng, 150)
+        for _ in range(8):
+            rows.append(text)
+            text = edited(rng, text, 0.025)
+    rng.shuffle(rows)
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(plain_near_groups(rows))
+
+
+def test_band_keys_meet_at_the_stated_rate():
+    rng = np.random.default_rng(1)
+    found = 0
+    for _ in range(300):
+        a = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        b = np.concatenate([a[:80], rng.integers(0, 2**63, 10, dtype=np.uint64)])  # 80 of 100
+        flat = np.concatenate([a, b])
+        one, two = near_copies.band_keys(flat, np.array([0, 90]))
+        found += (one == two).any()
+    assert found >= 299
 
 
 def test_xxh64_is_sparks(spark):

@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from posmv.llm import bpe, exact_dedup, mixing
-from tests.llm.test_operators import SCHEMA, norm, plain_components, plain_fingerprint
+from tests.llm.test_operators import SCHEMA, norm, plain_near_groups
 
 
 def corpus():
@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
             held = {i: held[i] for i in first.values()}
         if name == "near_dedup":
             ids = sorted(held)
-            label = plain_components([plain_fingerprint(held[i][1]) for i in ids])
+            label = plain_near_groups([held[i][1] for i in ids])
             held = {ids[l]: held[ids[l]] for l in set(label)}
         assert got == set(held), name
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(held)
