@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posmv.llm import bpe, exact_dedup, langid, mixing, simhash
+from posmv.llm import bpe, exact_dedup, langid, mixing, near_copies
 from posmv.llm.common import materialize, table
 
 
@@ -21,9 +21,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_copies(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts whose five-word shingles are alike by 0.8 or more the document with the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("exact_dedup", exact_copies),
-    ("near_dedup", near_copies),
+    ("near_dedup", drop_near),
     ("mixing", mix),
     ("bpe", encode),
 ]
