@@ -1,80 +1,100 @@
 """Exact dedup with an extendible-hash index in shared files; DataFrame functions only.
 
 Two texts are equal when they are identical after each run of ASCII white space became one space; null
-counts as empty. The index has three parts, all of them Parquet in the shared folder:
-
-* entries: document id, 64-bit key hash and SHA-256 of every document;
-* directory: a bucket splits, which doubles the directory, as long as it holds more than `capacity`
-  distinct keys and has fewer than `max_depth` hash bits; so it has at most 2**max_depth rows, which is
-  the bound under which it is broadcast;
-* buckets: for every distinct text its key, SHA-256, smallest document id and number of rows, sorted by
-  bucket. Owner tasks make them: the texts of a key are chained and compared byte by byte (they are
-  grouping keys of the aggregate). Copies collapse before the shuffle, so a large group costs its owner
-  one row for each input task.
+counts as empty. A text's key is a 64-bit hash. The index has three parts, all of them Parquet in the shared folder:
+
+* keys: every key and the number of rows that have it;
+* directory: a pointer from each value of the first `depth` bits of a key to its bucket. A bucket that holds more than
+  `capacity` distinct keys splits by its next bit, and the directory doubles until none is overfull (or 62 bits
+  are used up);
+* buckets: for each document its bucket, key, SHA-256 and the document that stays. Owner tasks make them: each is sent
+  a range of buckets, chains the rows of a key and compares their texts byte by byte.
+
+The directory is broadcast. It has some 2**19 pointers at most, as `capacity` grows with the keys beyond 2**16 buckets. A key
+with more than `HOT` rows, or more than 2**-16 of all, isn't sent to an owner row by row: its rows collapse to one
+for each text and input task, compared byte by byte as well, and are joined with what came out of that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posmv.llm.common import ASCII_SPACE, materialize
 
-
-def normalised(text: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASCII_SPACE, " ")
-
-
-def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """One row for each value of the first max_depth bits that occurs: prefix, depth of its bucket."""
-    keys = entries.select("h").distinct().select(F.shiftrightunsigned("h", 64 - max_depth).alias("prefix"))
-    counts = keys.groupBy("prefix").agg(F.count("*").alias("n"))
-    levels = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
-    part = F.expr(f"shiftrightunsigned(prefix, {max_depth} - depth)")
-    fill = levels.groupBy("depth", part.alias("part")).agg(F.sum("n").alias("held"))
-    fits = (F.col("held") <= capacity) | (F.col("depth") == max_depth)
-    # at most 2**(max_depth + 1) rows
-    return (
-        levels.withColumn("part", part).join(F.broadcast(fill.filter(fits)), ["depth", "part"])
-        .groupBy("prefix").agg(F.min("depth").alias("depth"))
-    )
-
-
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, max_depth: int = 12) -> DataFrame:
+#: Rows of a key from which on it may be hot, and bytes of the hot keys' texts that may be broadcast.
+HOT, HOT_BYTES = 1024, 32 << 20
+_BITS = 62
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), ASCII_SPACE, " ")
+
+
+def directory(keys: DataFrame, total: int, capacity: int) -> tuple[DataFrame, int]:
+    """keys: distinct keys h. Return pointers and the number of their bits: prefix, slot (where its bucket begins) and
+    depth (bits of the bucket)."""
+    bits = min(_BITS, max(1, (max(1, total // capacity) - 1).bit_length() + 2))
+    while True:
+        counts = materialize(keys.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("prefix")).agg(F.count("*").alias("n")), "exact-directory")
+        if bits == _BITS or counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] <= capacity:
+            break
+        bits = min(_BITS, bits + 2)
+    # Every bucket that each pointer had before the directory's doublings; it keeps the first that is not overfull.
+    levels = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("part", F.expr(f"shiftrightunsigned(prefix, {bits} - depth)"))
+    fits = levels.groupBy("depth", "part").agg(F.sum("n").alias("held")).filter((F.col("held") <= capacity) | (F.col("depth") == bits))
+    found = levels.join(fits, ["depth", "part"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
+    slot = F.expr(f"shiftleft(shiftrightunsigned(prefix, {bits} - depth), {bits} - depth)")
+    return materialize(found.select("prefix", slot.alias("slot"), "depth"), "exact-directory"), bits
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, capacity: int, carried: Column) -> tuple[DataFrame, DataFrame | None]:
+    """`carried` as d, id, norm, keep (the id that stays), group_size, first, slot, depth and h of every row: of the rows
+    that owners chain, and of those with hot keys, if there are any."""
+    rows = docs.select(carried.alias("d"), F.col(doc_id).alias("id"), normalised(F.col(text)).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    keys = materialize(rows.groupBy("h").agg(F.count("*").alias("n")), "exact-keys")
+    total, count = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    pointers, bits = directory(keys, total, max(capacity, total >> 16))
+    if bits <= 19:
+        pointers = F.broadcast(pointers)
+    hot = keys.filter(F.col("n") > max(HOT, count >> 16)).select("h")  # at most 2**16 keys
+    placed = rows.withColumn("prefix", F.shiftrightunsigned("h", 64 - bits)).join(pointers, "prefix").drop("prefix")
+
+    each = Window.partitionBy("slot", "h", "norm").orderBy(F.col("id").asc_nulls_last())
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    owned = placed.join(F.broadcast(hot), "h", "left_anti").repartitionByRange("slot")
+    chained = owned.select("*", F.first("id").over(whole).alias("keep"), F.count("*").over(whole).alias("group_size"), (F.row_number().over(each) == 1).alias("first"))
+    if hot.isEmpty():
+        return chained, None
+
+    many = materialize(placed.join(F.broadcast(hot), "h", "left_semi").withColumn("uid", F.monotonically_increasing_id()), "exact-hot")
+    texts = many.groupBy("slot", "h", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("least"), F.count("*").alias("group_size"))
+    texts = materialize(texts, "exact-hot-texts")
+    if (texts.agg(F.sum(F.octet_length("norm"))).first()[0] or 0) <= HOT_BYTES:
+        texts = F.broadcast(texts)
+    joined = many.join(texts, ["slot", "h", "norm"]).select(*many.columns, "least", "group_size")
+    return chained, joined.withColumn("keep", F.col("least.id")).withColumn("first", F.col("uid") == F.col("least.uid")).select(chained.columns)
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
     """Return one row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, depth.
 
     Of equal texts the row with the smallest doc_id stays; a null doc_id comes after all others, and of
-    rows that repeat both id and text exactly one is kept. Null text is empty text; an empty table gives no
-    rows. Other columns of docs are not read, whatever their names.
+    rows that repeat both id and text exactly one is kept. Ids may be of any type that has an order. Null text is empty
+    text; an empty table gives no rows. Other columns of docs are not read, whatever their names.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("norm"))
-    keyed = rows.withColumn("h", F.xxhash64("norm"))
-    entries = materialize(keyed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), "exact-entries")
-    lookup = materialize(directory(entries, capacity, max_depth), "exact-directory")
-
-    prefix = F.shiftrightunsigned("h", 64 - max_depth).alias("prefix")
-    owned = keyed.select("doc_id", "norm", "h", prefix).join(F.broadcast(lookup), "prefix")
-    bucket = F.expr(f"shiftrightunsigned(prefix, {max_depth} - depth)")
-    chains = (
-        owned.groupBy("depth", bucket.alias("bucket"), "h", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("depth", "bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    buckets = materialize(chains.repartitionByRange(F.expr(f"bucket << ({max_depth} - depth)"), "h").sortWithinPartitions("bucket", "h"), "exact-buckets")
-
-    once = entries.groupBy("doc_id", "h", "text_sha256").agg(F.count("*").alias("times"))
-    found = once.join(buckets, ["h", "text_sha256"])
-    each = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    kept = (F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "depth")
-
-
-def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    index = []
+    for part in _placed(docs, doc_id, text, capacity, F.lit(True)):
+        if part is not None:
+            found = part.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", F.col("first").alias("kept"), F.sha2("norm", 256).alias("text_sha256"), F.col("slot").alias("bucket"), "depth", "h")
+            index.append(materialize(found, "exact-buckets").drop("h"))
+    return index[0] if len(index) == 1 else index[0].unionByName(index[1])
+
+
+def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps."""
-    key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), sha)
-    keep = exact_dedup(docs, doc_id, text).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    tagged = docs.withColumn("__key", key(F.col(doc_id), F.sha2(normalised(text), 256)))
-    return tagged.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = [p.filter("first").select("d.*") for p in _placed(docs, doc_id, text, capacity, F.struct(*[F.col(f"`{c}`") for c in docs.columns])) if p is not None]
+    return kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
 
 
 ORACLE = r"""
