@@ -1,17 +1,25 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page is cut into blocks at its block-level tags. The first pass decides on each block by itself: blocks in
-menus, headers, footers, sidebars, forms, adverts, notices and comments (by element or by the words of class,
-id and role) and blocks of links are bad; long blocks rich in stop words, and blocks of running text inside the
-page's article element, are good; others are near good, or short. The second pass gives short and near good
-blocks the label of their nearest decided neighbours. Where a page marks its article, blocks outside of it are bad.
+A page is cut into blocks at its block-level tags. The first pass decides on each block by itself, by its length, the share of
+its characters that are in links, and the share of its words that are stop words: of a list for four languages, or
+those that the page itself repeats most, whichever share is larger, so that other languages and scripts have theirs. Long blocks
+rich in stop words are good, blocks of links and long blocks poor in stop words are bad, others are near good,
+or short. The second pass gives short and near good blocks the label of their nearest decided neighbours.
+
+The page's own marks come in twice. Being in an article element, or in an element whose class or id has a word such as
+`share` beside other words, only moves the shares that a block needs. What is no main text whatever its words
+are, prose or not, is bad by its mark: menus, headers, footers, sidebars, forms, hidden elements, and elements whose class,
+id or role consists of words for adverts, notices, reader comments and the like. Where a page marks its
+article, blocks outside it are bad.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +53,8 @@ _BLOCK = frozenset(
 )
 _DROP = frozenset("nav footer aside form menu button dialog head label".split())
 #: Words in class, id or role that mark an element as boilerplate; those of the second list also name the layout around
-#: an article, which is then kept. The third list turns either around ("no-sidebar", "ad-free").
+#: an article, which is then kept. The third list turns either around ("no-sidebar", "ad-free"). A name that has words of
+#: neither the first two nor the last list ("share-price", "related-work") is a weak mark.
 _HINTS = frozenset(
     """ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies
     consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup login related
@@ -54,27 +63,48 @@ _HINTS = frozenset(
 )
 _LAYOUT = frozenset("banner nav navbar navigation menu sidebar aside widget widgets footer masthead search searchbox toolbar complementary contentinfo".split())
 _TURNED = frozenset("no free without has with open closed".split())
+_PLAIN = frozenset(
+    """box bar block area section panel list item items container wrapper wrap holder inner outer group row column link links
+    button buttons icon icons text title body site page main primary secondary global top bottom left right fixed sticky mobile
+    desktop small large thread reader readers user count""".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset(("article", "main"))
 
-#: Characters and shares at which a block's label turns.
-SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.15, 0.25, 0.3
+#: Characters and shares at which a block's label turns; what a mark adds to or takes off the shares of stop words; words a
+#: page must have to learn stop words from, and how many it gives.
+SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS, LEAN, LEAST_WORDS, LEARNED = 70, 200, 0.15, 0.25, 0.3, 0.1, 60, 12
+_NO_SPACES = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+
+
+class Block(NamedTuple):
+    text: str
+    links: int
+    inside: bool
+    dropped: bool
+    weak: bool
+    heading: bool
 
 
-class Block:
-    __slots__ = ("text", "links", "inside", "dropped", "heading")
+class Open(NamedTuple):
+    """An element that is open, with what holds here or above it."""
 
-    def __init__(self, text: str, links: int, inside: bool, dropped: bool, heading: bool):
-        self.text, self.links, self.inside, self.dropped, self.heading = text, links, inside, dropped, heading
+    tag: str
+    dropped: int
+    inside: bool
+    linked: bool
+    weak: bool
+    heading: bool
 
 
-def _marks(tag: str, attrs: str) -> tuple[int, bool]:
-    """Whether an element begins boilerplate (2; 1 if by its layout alone), and whether it begins the main text."""
+def _marks(tag: str, attrs: str) -> tuple[int, bool, bool]:
+    """Whether an element begins boilerplate (2; 1 if by its layout alone), whether it may, and whether it begins the
+    main text."""
     main = tag in _MAIN
-    by_tag = 2 if tag in _DROP else 0
+    level, weak = 2 if tag in _DROP else 0, False
     if not attrs:
-        return by_tag, main
-    level = 0
+        return level, False, main
+    marked = 0
     for name, value in _ATTR.findall(attrs):
         value = value.strip("\"'")
         if (name.lower() == "role" and value == "main") or (name.lower() == "itemprop" and value == "articleBody"):
@@ -83,13 +113,17 @@ def _marks(tag: str, attrs: str) -> tuple[int, bool]:
         names = value.split()
         for one in names[:1] if main else names:  # further names of an article tell its state, not what it is
             words = {w.lower() for w in _NAME.findall(one)}
-            if words.isdisjoint(_TURNED):
-                level = max(level, 0 if words.isdisjoint(_HINTS) else 2, 0 if words.isdisjoint(_LAYOUT) else 1)
+            if words & _TURNED or not words & (_HINTS | _LAYOUT):
+                continue
+            if words <= _HINTS | _LAYOUT | _PLAIN:
+                marked = max(marked, 2 if words & _HINTS else 1)
+            else:
+                weak = True
     if tag in ("html", "body"):
-        level = 0
+        marked, weak = 0, False
     if _HIDDEN.search(attrs):
-        level = 2
-    return max(by_tag, level), main and level < 2
+        marked = 2
+    return max(level, marked), weak, main and marked < 2
 
 
 def blocks(page: str) -> list[Block]:
@@ -97,15 +131,17 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     links = 0
-    # Open elements as (tag, dropped here or above, in the main text, in a link); p and li end at their like.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # p and li end at their like; `open_` counts the open elements of each tag.
+    stack = [Open("", 0, False, False, False, False)]
+    open_: Counter = Counter()
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
-                _, dropped, inside, _ = stack[-1]
-                found.append(Block(text, links, inside, dropped > 0, any(t in _HEADINGS for t, *_ in stack)))
+                top = stack[-1]
+                found.append(Block(text, links, top.inside, top.dropped > 0, top.weak, top.heading))
             parts.clear()
         links = 0
 
@@ -113,17 +149,33 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if stack[-1][3]:
+        if stack[-1].linked:
             links += len("".join(text.split()))
 
     def close(tag: str, limits: frozenset[str] = frozenset()) -> None:
+        if not open_[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
+            if stack[i].tag == tag:
+                for e in stack[i:]:
+                    open_[e.tag] -= 1
                 del stack[i:]
                 return
-            if stack[i][0] in limits:
+            if stack[i].tag in limits:
                 return
 
+    def after_inline(tag: str, at: int) -> int:
+        """Where the inline element that began before `at` ends, with those of its kind in it; `at` if it has no end."""
+        if tag in unclosed:
+            return at
+        depth = 1
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return m.end()
+        unclosed.add(tag)
+        return at
+
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -158,57 +210,78 @@ def blocks(page: str) -> list[Block]:
             flush()
             if tag in ("p", "li", "dd", "dt", "td", "th", "tr"):
                 close(tag, _BLOCK - {tag, "p"})
-            elif stack[-1][0] == "p":
+            elif stack[-1].tag == "p":
                 close("p", _BLOCK - {"p"})
         if tag in _VOID or attrs.endswith("/"):
             continue
         if tag in _BLOCK or tag == "a" or attrs:
-            drop, main = _marks(tag, attrs)
-            _, dropped, inside, linked = stack[-1]
-            if tag == "header" and not inside:
+            drop, weak, main = _marks(tag, attrs)
+            top = stack[-1]
+            dropped = top.dropped
+            if tag == "header" and not top.inside:
                 drop = 2
             if main and dropped < 2:
                 dropped = 0
             if tag in _BLOCK:
-                stack.append((tag, max(dropped, drop), inside or (main and dropped < 2), linked))
+                begins = main and dropped < 2
+                stack.append(Open(tag, max(dropped, drop), top.inside or begins, top.linked, weak or (top.weak and not begins), top.heading or tag in _HEADINGS))
+                open_[tag] += 1
             elif tag == "a":
-                stack.append((tag, dropped, inside, True))
+                stack.append(top._replace(tag=tag, dropped=dropped, linked=True))
+                open_[tag] += 1
             elif drop == 2 and tag in ("span", "ins", "button", "label"):
                 # An inline element of boilerplate is a block of its own.
                 flush()
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                at = after_inline(tag, at)
     flush()
     return found
 
 
+def _words(text: str) -> list[str]:
+    """In lower case; characters of scripts that leave no space between words count as words."""
+    return _NO_SPACES.findall(text) or _WORD.findall(text.lower())
+
+
+def _learned(words: list[list[str]]) -> frozenset[str]:
+    """The words that a page repeats most, over the blocks that are not links or boilerplate."""
+    total = sum(map(len, words))
+    if total < LEAST_WORDS:
+        return frozenset()
+    counts = Counter(w for block in words for w in block)
+    return frozenset(w for w, n in counts.most_common(LEARNED) if n > 2 and n * 200 >= total)
+
+
 def labels(page: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     marked = any(b.inside and not b.dropped for b in page)
+    out_of_it = [b.dropped or (marked and not b.inside) or b.links > MAX_LINKS * len(b.text.replace(" ", "")) for b in page]
+    words = [[] if bad else _words(b.text) for b, bad in zip(page, out_of_it, strict=True)]
+    learned = _learned(words)
     first: list[str] = []
-    for b in page:
-        n = len(b.text)
-        solid = len("".join(b.text.split()))
-        if b.dropped or (marked and not b.inside) or b.links > MAX_LINKS * solid:
+    for b, bad, own in zip(page, out_of_it, words, strict=True):
+        if bad:
             first.append("bad")
             continue
-        words = _WORD.findall(b.text.lower())
-        stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+        n = len(b.text)
+        stops = max(sum(map(known.__contains__, own)) for known in (STOP_WORDS, learned)) / max(1, len(own))
+        stops += LEAN * (b.inside - b.weak)
         if not b.inside and n < LONG and ("©" in b.text or "copyright" in b.text.lower()):
             first.append("bad")
         elif n < SHORT:
-            first.append("bad" if b.links and not b.inside else "short")
-        elif b.inside or (n > LONG and stops >= STOP_HIGH):
+            first.append("bad" if (b.links or b.weak) and not b.inside else "short")
+        elif stops >= STOP_HIGH and (n > LONG or b.inside):
             first.append("good")
+        elif stops >= STOP_LOW or (b.inside and not b.weak):
+            first.append("near")
         else:
-            first.append("near" if stops >= STOP_LOW else "bad")
+            first.append("bad")
     out = [x == "good" for x in first]
     before, after = _nearest(first, page), _nearest(first[::-1], page[::-1])[::-1]
     for i, (x, b) in enumerate(zip(first, page, strict=True)):
         around = {before[i], after[i]}
-        if x == "near":
-            out[i] = around != {"bad"}
-        elif x == "short" and b.inside:
+        if b.weak and x in ("near", "short"):
+            out[i] = around == {"good"}
+        elif x == "near" or (x == "short" and b.inside):
             out[i] = around != {"bad"}
         elif x == "short":
             out[i] = around in ({"good"}, {"good", None}) or (b.heading and after[i] == "good")
