@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from posmv.llm.common import slices
 
-RATE, FRAME, HOP = 8000, 256, 256
+RATE, FRAME, HOP = 8000, 256, 128
 #: Edges of the bands in bins; frames from a peak to the last that it is paired with.
 BANDS, AHEAD = (1, 6, 12, 24, 48, 96, 129), 3
 #: Frames that are transformed at a time.
