@@ -182,7 +182,8 @@ def near_copy_labels(rows: DataFrame, words: int = 5, similarity: float = 0.8) -
         asked = materialize(_asked(of, similarity, low, high), "near-asked")
         more, some = asked.agg(F.coalesce(F.bool_or(F.col("a").isNull()), F.lit(False)), F.count("a")).first()
         if some:
-            links = materialize(links.unionByName(_checked(asked.filter("a IS NOT NULL"), texts, words, similarity)), "near-links")
+            known = labels.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            links = materialize(known.unionByName(_checked(asked.filter("a IS NOT NULL"), texts, words, similarity)), "near-links")
         if not more:
             return components(links) if some else labels
         low, high = high, high * GROWTH
