@@ -10,9 +10,10 @@ probability 1 - (1 - s**ROWS)**BANDS, which is 0.9998 at 0.8. Within its shards
 vantage-point search for all fingerprints in its radius, and every pair so found is checked on the whole sets.
 
 Only links that join two components matter, so large groups cost no more than their members: first each shard's
-members are checked against its first row; then members that are still apart, against their nearest ones, then
-against more, until no unchecked pair between two components is left. A shard is cut into blocks of at
-most BLOCK rows, each pair of blocks is a task of its own, and no task holds a whole large shard.
+members are checked against its first row; then only those that are in another component than the first row ask
+further, all members of the shard, the nearest first, and no longer once they are in one component. For that a shard
+is cut into blocks of at most BLOCK members and BLOCK askers; each block of members and of askers is a group of its own,
+so no task holds a whole large shard, and sets of shingles move only for rows that have something in their radius.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from posmv.llm.components import components
 from posmv.llm.simhash import majority, near_pairs
 from posmv.llm.substring import Words, mix, spans, word_hashes
 
-BANDS, ROWS, RADIUS, BLOCK = 16, 4, 20, 16_384
-#: Nearest members of its shard that a row is checked against in the first round, and the growth of that number.
-NEAREST, GROWTH = 8, 8
+BANDS, ROWS, RADIUS, BLOCK = 16, 4, 20, 2048
+#: Members of a shard that an asker is checked against at a time.
+NEAREST = 32
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -81,84 +82,128 @@ def _marks(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, fp long, size long, keys array<long>")
 
 
-def candidates(shard: tuple[np.ndarray, ...], similarity: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of one shard (row, component, fp, size) that are to be checked: of each row outside the shard's
-    largest component those others in RADIUS that are number low to high - 1 by distance and in another
-    component now; and whether there are further ones."""
-    row, of, fp, size = shard
-    parts, counts = np.unique(of, return_counts=True)
-    asks = np.flatnonzero(of != parts[len(parts) - 1 - counts[::-1].argmax()])
-    held = [(asks[j], i) for i, j in near_pairs(fp, fp[asks], RADIUS)]
+def _near(members: np.ndarray, askers: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of members and askers (tables with row, of, fp, size) in RADIUS of each other, in different components and
+    of sizes that allow the similarity; by asker, the nearest first."""
+    held = list(near_pairs(members[2].view(np.uint64), askers[2].view(np.uint64), RADIUS))
     if not held:
-        return row[:0], row[:0], False
-    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-    ok = (a != b) & (np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity)
-    a, b = a[ok], b[ok]
-    order = np.lexsort((row[b], np.bitwise_count(fp[a] ^ fp[b]), a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
-    place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    apart = of[a] != of[b]
-    now = apart & (place >= low) & (place < high)
-    return np.minimum(row[a[now]], row[b[now]]), np.maximum(row[a[now]], row[b[now]]), bool((apart & (place >= high)).any())
-
-
-def _asked(members: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
-    """Pairs a, b of all shards that have more than one component; a row of nulls where a shard has further ones."""
-    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi")
-    blocks = open_.select("key", F.expr(f"(n + {BLOCK} - 1) div {BLOCK}").alias("g"))
-    dealt = members.join(blocks, "key").withColumn("own", F.expr("pmod(xxhash64(row), g)")).withColumn("other", F.explode(F.expr("sequence(0L, g - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "of", "fp", "size")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            a, b, more = candidates(shard, similarity, low, high)
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, ["a", "b"])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+    low, high = np.minimum(members[3][i], askers[3][j]), np.maximum(members[3][i], askers[3][j])
+    ok = (members[1][i] != askers[1][j]) & (low / high >= similarity)
+    i, j = i[ok], j[ok]
+    order = np.lexsort((members[0][i], np.bitwise_count(members[2][i] ^ askers[2][j]), j))
+    return i[order], j[order]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The arrays row, of, fp, size of each run of rows with one key, i and j."""
-    held: list[np.ndarray] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
+    """For each run of rows with one key, b and c: the table key, b, c, asks, row, of, fp, size, and the sets if
+    there are any."""
+    held: list[tuple[np.ndarray, list]] = []
 
-    def whole(table: np.ndarray) -> tuple[np.ndarray, ...]:
-        return table[3], table[4], table[5].view(np.uint64), table[6]
+    def whole() -> tuple[np.ndarray, list]:
+        out = np.concatenate([t for t, _ in held], 1), [x for _, s in held for x in s]
+        held.clear()
+        return out
 
     for batch in batches:
-        table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "row", "of", "fp", "size")])
+        table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "b", "c", "asks", "row", "of", "fp", "size")])
         if not table.shape[1]:
             continue
-        if held and (held[-1][:3, -1] != table[:3, 0]).any():
-            yield whole(np.concatenate(held, 1))
-            held = []
-        cuts = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1
-        parts = np.split(table, cuts, axis=1)
-        for part in parts[:-1]:
-            yield whole(np.concatenate([*held, part], 1))
-            held = []
-        held.append(parts[-1])
+        sets = batch.column("set").to_pylist() if "set" in batch.schema.names else []
+        if held and (held[-1][0][:3, -1] != table[:3, 0]).any():
+            yield whole()
+        cuts = [0, *(np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1).tolist(), table.shape[1]]
+        for x, y in zip(cuts, cuts[1:]):
+            held.append((table[:, x:y], sets[x:y]))
+            if y < table.shape[1]:
+                yield whole()
     if held:
-        yield whole(np.concatenate(held, 1))
+        yield whole()
+
+
+_GROUP = "key long, b long, c long, asks long, row long, of long, fp long, size long"
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members: key, row, of, fp, size, first (the component of the shard's first row). Every member of the shards that have
+    askers in a block b of members, once for each block c of askers, and every asker once for each b."""
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.expr("of != first")).alias("m")).filter("m > 0")
+    open_ = open_.selectExpr("key", f"(n + {BLOCK} - 1) div {BLOCK} AS n", f"(m + {BLOCK} - 1) div {BLOCK} AS m")
+    rows = members.join(open_, "key").withColumn("h", F.xxhash64("row"))
+    own = rows.selectExpr("key", "pmod(h, n) AS b", "explode(sequence(0L, m - 1)) AS c", "0L AS asks", "row", "of", "fp", "size")
+    asks = rows.filter("of != first").selectExpr("key", "explode(sequence(0L, n - 1)) AS b", "pmod(h, m) AS c", "1L AS asks", "row", "of", "fp", "size")
+    return own.unionByName(asks)
+
+
+def _involved(dealt: DataFrame, similarity: float) -> DataFrame:
+    """The rows of each group with a member or asker of another component near them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _groups(batches):
+            asks = np.flatnonzero(table[3])
+            owns = np.flatnonzero(table[3] == 0)
+            i, j = _near(table[4:, owns], table[4:, asks], similarity)
+            if len(i):
+                part = table[:, np.concatenate([owns[np.unique(i)], asks[np.unique(j)]])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["key", "b", "c", "asks", "row", "of", "fp", "size"])
+
+    return dealt.repartition("key", "b", "c").sortWithinPartitions("key", "b", "c").mapInArrow(run, _GROUP)
+
+
+def linked(table: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join exactly the components which similar rows of one group join. table: asks, row, of, fp, size."""
+    asks, owns = np.flatnonzero(table[0]), np.flatnonzero(table[0] == 0)
+    of = table[2].copy()
+    i, j = _near(table[1:, owns], table[1:, asks], similarity)
+    found = []
+    edges = np.append(np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else [], len(j)).astype(int)
+    for x, y in zip(edges, edges[1:]):
+        a, todo = asks[j[x]], owns[i[x:y]]
+        while len(todo := todo[of[todo] != of[a]]):
+            now, todo = todo[:NEAREST], todo[NEAREST:]
+            flat = np.concatenate([sets[t] for t in now])
+            sizes = np.array([len(sets[t]) for t in now])
+            at = np.minimum(np.searchsorted(sets[a], flat), len(sets[a]) - 1)
+            both = np.add.reduceat((sets[a][at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for t in now[both / (sizes + len(sets[a]) - both) >= similarity]:
+                if of[t] != of[a]:
+                    found.append((int(table[1][a]), int(table[1][t])))
+                    of[of == of[t]] = of[a]
+    return found
+
+
+def _resolved(involved: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, held in _groups(batches):
+            found = linked(table[3:], [np.frombuffer(x, np.uint64) for x in held], similarity)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = involved.join(sets, "row").repartition("key", "b", "c").sortWithinPartitions("key", "b", "c")
+    return rows.select("key", "b", "c", "asks", "row", "of", "fp", "size", "set").mapInArrow(run, "a long, b long")
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """row, text to row, set: the shingles' hashes, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["row", "set"])
+
+    return rows.mapInArrow(run, "row long, set binary")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs a, b whose whole sets of shingles are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a"), batch.column("x"), batch.column("y"), strict=True):
-                if (a := a.as_py()) != last:
-                    last, own = a, shingles(x.as_py(), words)
-                keep.append(jaccard(own, shingles(y.as_py(), words)) >= similarity)
+            keep = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -169,24 +214,23 @@ def near_copy_labels(rows: DataFrame, words: int = 5, similarity: float = 0.8) -
     flat = marks.select("row", "fp", "size", F.explode("keys").alias("key"))
     first = flat.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
     shared = materialize(flat.join(first, "key"), "near-shards")
-    texts = materialize(rows.select("row", "text").join(shared.select("row").distinct(), "row", "left_semi"), "near-texts")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= RADIUS
     alike = F.least("size", "lead.size") / F.greatest("size", "lead.size") >= similarity
-    star = shared.filter((F.col("row") != F.col("lead.row")) & near & alike).select(F.col("lead.row").alias("a"), F.col("row").alias("b")).distinct()
-    links = materialize(_checked(star, texts, words, similarity), "near-links")
-    low, high = 0, NEAREST
-    while True:
-        labels = components(links)
-        of = shared.select("key", "row", "fp", "size").join(labels, F.col("row") == F.col("node"), "left").withColumn("of", F.coalesce("root", "row"))
-        asked = materialize(_asked(of, similarity, low, high), "near-asked")
-        more, some = asked.agg(F.coalesce(F.bool_or(F.col("a").isNull()), F.lit(False)), F.count("a")).first()
-        if some:
-            known = labels.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-            links = materialize(known.unionByName(_checked(asked.filter("a IS NOT NULL"), texts, words, similarity)), "near-links")
-        if not more:
-            return components(links) if some else labels
-        low, high = high, high * GROWTH
+    star = materialize(shared.filter((F.col("row") != F.col("lead.row")) & near & alike).select(F.col("lead.row").alias("a"), F.col("row").alias("b")).distinct(), "near-star")
+    asked = star.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    links = materialize(_checked(star, materialize(_sets(rows.select("row", "text").join(asked, "row", "left_semi"), words), "near-sets"), similarity), "near-links")
+    labels = components(links)
+
+    of = shared.select("key", "row", "fp", "size").join(labels, F.col("row") == F.col("node"), "left").withColumn("of", F.coalesce("root", "row")).drop("node", "root")
+    leads = shared.select("key", F.col("lead.row").alias("lead")).distinct().join(labels, F.col("lead") == F.col("node"), "left").select("key", F.coalesce("root", "lead").alias("first"))
+    involved = materialize(_involved(_dealt(of.join(leads, "key")), similarity), "near-involved")
+    sets = materialize(_sets(rows.select("row", "text").join(involved.select("row").distinct(), "row", "left_semi"), words), "near-sets")
+    more = materialize(_resolved(involved, sets, similarity), "near-links")
+    if more.isEmpty():
+        return labels
+    known = labels.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return components(known.unionByName(more))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
