@@ -68,26 +68,55 @@ def late(i):
 # --- 9 exact dedup ---
 
 
-@pytest.mark.parametrize("capacity, depth", [(4096, 12), (2, 6), (1, 3)])
-def test_exact_dedup(docs, given, capacity, depth):
-    got = exact_dedup.exact_dedup(docs, capacity=capacity, max_depth=depth).collect()
+@pytest.mark.parametrize("capacity, hot", [(4096, 1024), (2, 1024), (1, 1), (3, 2)])
+def test_exact_dedup(docs, given, monkeypatch, capacity, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    got = exact_dedup.exact_dedup(docs, capacity=capacity).collect()
     groups: dict = {}
     for r in given:
         groups.setdefault(norm(r[1]), []).append(r[0])
     assert len(got) == len(given)
     by_sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    buckets = {}
     for r in got:
         ids = by_sha[r.text_sha256]
         assert r.keep_id == min(ids, key=late) and r.group_size == len(ids)
+        buckets.setdefault((r.bucket, r.depth), set()).add(r.text_sha256)
     for sha, ids in by_sha.items():
         assert sum(r.kept for r in got if r.text_sha256 == sha) == 1
-    assert {r.depth for r in got} != {0} or capacity > 100
-
-
-def test_exact_dedup_rows_and_empty(docs, empty, given):
-    kept = exact_dedup.drop_exact_copies(docs)
+    assert max(map(len, buckets.values())) <= capacity
+    assert (len(buckets) == 1) == (capacity == 4096)
+    kept = exact_dedup.drop_exact_copies(docs, capacity=capacity)
     assert kept.columns == docs.columns
-    assert kept.count() == len({norm(r[1]) for r in given})
+    assert Counter(norm(r.text) for r in kept.collect()) == Counter(groups.keys())
+
+
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    """Keys that share their first 20 bits; every key's pointer leads to the bucket that begins with the same bits."""
+    rng = random.Random(6)
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(300)] + [(5 << 44 | rng.getrandbits(44)) for _ in range(60)]
+    frame = spark.createDataFrame([(k,) for k in keys], "h long")
+    pointers, bits = exact_dedup.directory(frame, len(keys), 4)
+    assert bits > 20
+    held = Counter()
+    by_prefix = {r.prefix: r for r in pointers.collect()}
+    for k in keys:
+        at = by_prefix[(k % 2**64) >> (64 - bits)]
+        assert at.prefix >> (bits - at.depth) == at.slot >> (bits - at.depth)
+        held[(at.slot, at.depth)] += 1
+    assert max(held.values()) <= 4
+    for (slot, depth), n in held.items():  # no bucket is deeper than it must be
+        parent = slot >> (bits - depth + 1)
+        assert depth == 0 or sum((k % 2**64) >> (64 - depth + 1) == parent for k in keys) > 4
+
+
+def test_exact_dedup_of_text_ids_and_nothing(spark, docs, empty, given):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = exact_dedup.exact_dedup(named).collect()
+    groups: dict = {}
+    for r in given:
+        groups.setdefault(norm(r[1]), []).append(r[0])
+    assert sum(r.kept for r in got) == len(groups)
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
 
 
@@ -96,35 +125,50 @@ def test_exact_dedup_rows_and_empty(docs, empty, given):
 
 def edf(parts):
     """Plain earliest-deadline-first over one period: the source of each slot."""
-    names, period, had, out = sorted(parts), sum(parts.values()), Counter(), []
+    names, period, had, out = sorted(parts, key=lambda s: (parts[s], s)), sum(parts.values()), Counter(), []
     for t in range(period):
-        ready = [(-(-(had[s] + 1) * period // parts[s]), s) for s in names if had[s] * period // parts[s] <= t]
-        s = min(ready)[1]
+        ready = [(-(-(had[s] + 1) * period // parts[s]), i, s) for i, s in enumerate(names) if had[s] * period // parts[s] <= t]
+        s = min(ready)[2]
         had[s] += 1
         out.append(s)
     return out
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 1, "s1": 5, "s2": 0.3}, {"s1": 1.0}, {}])
+@pytest.mark.parametrize("weights", [None, {"s0": 1, "s1": 5, "s2": 0.3}, {"s1": 1.0}, {}, {"s0": 0, "s1": 0.25, "s2": 0.5}])
 def test_mixing(docs, given, weights):
-    got = mixing.mix_sources(docs, weights=weights, block_size=3, parts=20).collect()
+    got = mixing.mix_sources(docs, weights=weights, block_size=3).collect()
     assert len(got) == len(given) and Counter(r.doc_id for r in got) == Counter(r[0] for r in given)
     key = lambda s: "n" if s is None else "s" + s
-    parts = {key(r.source): r.src_parts for r in got}
-    plan = edf(parts)
-    for s in parts:
-        rows = sorted((r.slot, r.place) for r in got if key(r.source) == s)
-        turns = [t for t, x in enumerate(plan) if x == s]
-        want = [((i // 3) // len(turns) * len(plan) + turns[(i // 3) % len(turns)], i % 3) for i in range(len(rows))]
-        assert rows == want
+    rows_of = Counter(key(r[3]) for r in given)
+    if weights is None:
+        targets = {s: math.isqrt(n) for s, n in rows_of.items()}
+    else:
+        least = min((w for w in weights.values() if w), default=1)
+        targets = {s: round(weights.get(s[1:], 0) / least * 3) for s in rows_of if s != "n"}  # 3: makes all of them whole
+        common = math.gcd(*targets.values()) or 1
+        targets = {s: n // common for s, n in targets.items() if n}
+    after = 0
+    for parts in (targets, {s: 1 for s in rows_of if s not in targets}):
+        plan = edf(parts)
+        for s in parts:
+            rows = sorted((r.slot, r.place) for r in got if key(r.source) == s)
+            turns = [t for t, x in enumerate(plan) if x == s]
+            want = [(after + (i // 3) // len(turns) * len(plan) + turns[(i // 3) % len(turns)], i % 3) for i in range(len(rows))]
+            assert rows == want and {r.src_parts for r in got if key(r.source) == s} == {parts[s]}
+        after = len(plan) * max((-(-rows_of[s] // (3 * n)) for s, n in parts.items()), default=0)
+
+
+def periods(spark, parts):
+    frame = spark.createDataFrame([(s, 1, n, False) for s, n in parts.items()], "src string, rows long, n long, late boolean")
+    return {r["at"]: r["src"] for r in mixing.schedule(frame).collect()}
 
 
 def test_schedule_deviates_by_less_than_a_block(spark):
+    """Of the exact target weights, at every slot."""
     rng = random.Random(2)
-    for _ in range(5):
-        parts = {f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 8))}
-        frame = spark.createDataFrame([(s, 1, n) for s, n in parts.items()], "src string, rows long, n long")
-        slots = {r["at"]: r["src"] for r in mixing.schedule(frame).collect()}
+    many = {f"s{i}": math.isqrt(10_000 // (i + 1)) for i in range(60)}
+    for parts in [{f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 8))} for _ in range(5)] + [many, {"s0": 19 * 31, "s1": 1, "s2": 1}]:
+        slots = periods(spark, parts)
         period, had = sum(parts.values()), Counter()
         assert [slots[t] for t in range(period)] == edf(parts)
         for t in range(period):
@@ -132,6 +176,23 @@ def test_schedule_deviates_by_less_than_a_block(spark):
             assert all(abs(had[s] - (t + 1) * n / period) < 1 for s, n in parts.items())
 
 
+def test_many_sources(spark):
+    rows = [(i, f"s{i}") for i in range(2000)] + [(10_000 + i, "big") for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_size=1).collect()
+    assert {r.src_parts for r in got if r.source == "big"} == {30} and {r.period for r in got} == {2030}
+    slots = sorted(r.slot for r in got if r.source == "big")
+    for k, slot in enumerate(slots):  # one of each 2030 / 30 slots
+        assert k * 2030 // 30 <= slot < -(-(k + 1) * 2030 // 30)
+
+
+def test_whole_parts():
+    assert mixing.whole_parts({"a": 0.1, "b": 0.35, "c": 0}) == {"a": 2, "b": 7, "c": 0}
+    assert mixing.whole_parts({}) == {} and mixing.whole_parts({"a": 0.0}) == {"a": 0}
+    for bad in ({"a": -1}, {"a": 1, "b": 1e-9}):
+        with pytest.raises(ValueError):
+            mixing.whole_parts(bad)
+
+
 def test_mixed_order_and_empty(docs, empty):
     out = mixing.in_mixed_order(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -176,7 +237,9 @@ def test_bpe_equals_the_library(reference):
 
 def test_long_and_short_pieces_merge_alike(reference):
     coder = bpe.load(bpe.default_ranks())
-    for p in (b"abcabcabd" * 20, "été".encode() * 40, b"z" * 300):
+    rng = random.Random(4)
+    mixed = ["".join(rng.choice(a) for _ in range(rng.randint(513, 900))).encode() for a in ("ab", "aehnrst", "été日本語", "01-=") for _ in range(5)]
+    for p in (b"abcabcabd" * 20, "été".encode() * 40, b"z" * 300, *mixed):
         assert coder.merge_long(p) == coder.merge_rows([p], len(p))[0] == np.array(reference._encode_single_piece(p), np.int32).tobytes()
 
 
@@ -203,24 +266,45 @@ def test_bpe_query(docs, given, empty, reference):
     assert Counter(map(tuple, steps.collect())) == Counter(map(tuple, whole.collect()))
 
 
-def test_equal_first_hashes_are_told_apart():
-    class Same(chunks.Hashes):
-        def __call__(self, data, starts, sizes):
-            first, second = super().__call__(data, starts, sizes)
-            return first & np.uint64(3), second
+def test_equal_hashes_are_told_apart(monkeypatch):
+    class Same(chunks.Spans):
+        def __init__(self, data, starts, sizes):
+            super().__init__(data, starts, sizes)
+            self.hash &= np.uint64(3)
 
+    monkeypatch.setattr(chunks, "Spans", Same)
     encoder = chunks.ChunkEncoder(lambda texts: [np.array([zlib.crc32(t.encode()) & 0xFFFF], np.int32).tobytes() for t in texts])
-    encoder.hash = Same()
-    text = "a b c d e f g a b c zz yy"
+    text = "a b c d e f g a b c zz yy abcdefghi abcdefghj"
     want = [zlib.crc32(t.encode()) & 0xFFFF for t in re.split(r"(?= )", text)]
     assert encoder.encode([text, None, text])[2].tolist() == want
 
 
+def test_texts_longer_than_a_slice(reference, monkeypatch):
+    monkeypatch.setattr(chunks, "SLICE", 64)
+    coder = bpe.ByteBPE({reference.decode_single_token_bytes(i): i for i in range(reference.n_vocab)})
+    texts = [" ".join(odd_texts(40, seed)) for seed in range(20)] + ["x" * 700, ""]
+    for t, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(t)
+
+
+def test_decoding_in_blocks(reference):
+    coder = bpe.load(bpe.default_ranks())
+    ids = np.array(reference.encode_ordinary("one two three été 日本 " * 50), np.int32)
+    data, at = coder.decode_all(ids, block=7)
+    assert data.tobytes() == reference.decode_bytes(ids.tolist()) and at[-1] == len(data) and len(at) == len(ids) + 1
+    assert coder.decode(ids[:0]) == b""
+    for bad in (-1, 50_256, 10**6):
+        with pytest.raises(ValueError):
+            coder.decode(np.array([5, bad], np.int32))
+
+
 # --- 6 ORC ---
 
 
 def test_orc(spark, docs, given, empty):
-    tok = orc_tokens.load(orc_tokens.default_tokenizer()).tokenizer
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(orc_tokens.default_tokenizer())
     got = sorted((tuple(r) for r in orc_tokens.token_offsets(docs).collect()), key=lambda r: r[1])
     rows = sorted(given, key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
@@ -236,6 +320,16 @@ def test_orc(spark, docs, given, empty):
     assert orc_tokens.token_offsets(empty).count() == 0
 
 
+def test_special_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(orc_tokens.default_tokenizer())
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endof", "text|>", "<|endoftext|", "x <|endoftext|>\n\n y", ""] + odd_texts(300)
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+    for t, ids in zip(texts, orc_tokens.Library(orc_tokens.default_tokenizer()).chunks.encode(texts), strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_orc_reads_by_id(spark, docs, tmp_path):
     path = str(tmp_path / "orc")
     orc_tokens.write_tokens(docs, path)
@@ -318,9 +412,9 @@ def edited(rng, text, share):
     return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize("block, nearest", [(16_384, 8), (7, 2)])
+@pytest.mark.parametrize("block, nearest", [(2048, 32), (7, 2)])
 def test_near_copies_in_large_groups(spark, monkeypatch, block, nearest):
-    """Chains and stars of edits around the threshold; blocks and rounds that are far smaller than a shard."""
+    """Chains and stars of edits around the threshold; blocks that are far smaller than a shard."""
     monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(near_copies, "NEAREST", nearest)
     rng = random.Random(9)
@@ -444,14 +538,57 @@ def test_substring_repeated_around_a_shared_passage(spark):
     assert got == Counter(plain_removed(rows, 12))
 
 
+def batch(spark, k):
+    return spark.createDataFrame([(k, 0, f, f, 0, 1) for f in (k, k + 1)], "o long, x long, fp long, digest long, a int, n int")
+
+
 def test_substring_index_compacts(spark):
-    index = substring.FingerprintIndex(max_runs=2)
+    index = substring.FingerprintIndex(spark, max_runs=2)
     for k in range(5):
-        found = spark.createDataFrame([(k, 0, f, f, 0, 1) for f in (k, k + 1)], "o long, x long, fp long, digest long, a int, n int")
-        covered = index.add(found)
-        assert [r.o for r in covered.collect()] == ([k] if k else [])
-    assert len(index.runs) <= 2
-    assert sorted((r.fp, r["first"].o) for r in index.entries().collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+        assert [r.o for r in index.add(batch(spark, k)).collect()] == ([k] if k else [])
+        assert len(index.runs) <= 2
+    assert index.compactions == 2
+    assert sorted((r.fp, r.o) for r in index.entries().collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    index.close()
+
+
+def test_substring_index_is_opened_by_a_later_job(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    for k in range(4):
+        index = substring.FingerprintIndex(spark, max_runs=2, path=path)
+        assert [r.o for r in index.add(batch(spark, k)).collect()] == ([k] if k else [])
+        index.close()
+    index = substring.FingerprintIndex(spark, max_runs=2, path=path)
+    assert sorted((r.fp, r.o) for r in index.entries().collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+    before = len(index.runs)
+    (tmp_path / "index" / "run-broken").mkdir()  # of a job that broke off
+    assert len(substring.FingerprintIndex(spark, max_runs=2, path=path).runs) == before
+
+
+def test_substring_runs_are_joined_as_they_lie(spark):
+    index = substring.FingerprintIndex(spark, max_runs=4)
+    rows = [(k, 0, k % 500, k % 500, 0, 1) for k in range(2000)]
+    for part in (rows[:1000], rows[1000:]):
+        index.add(spark.createDataFrame(part, "o long, x long, fp long, digest long, a int, n int"))
+    left = spark.createDataFrame(rows[:50], "o long, x long, fp long, digest long, a int, n int").groupBy("fp", "digest").agg(F.min("o").alias("first"))
+    plan = left.hint("merge").join(index._entries(index.runs[0][0]).select("fp", "digest", "o"), ["fp", "digest"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.close()
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_substring_hot_digests_and_text_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = random.Random(3)
+    shared = passage(rng, 40)
+    rows = [(f"id{i:03d}" if i % 10 else None, f"{passage(rng, 8)} {shared} {passage(rng, 8)}", None, None, 0) for i in range(60)]
+    rows += [("id005", shared, None, None, 0)] * 2
+    frame = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    order = {i: k for k, i in enumerate(sorted({r[0] for r in rows if r[0]}))}
+    want = plain_removed([(order.get(r[0]), *r[1:]) for r in rows], 12)
+    back = {k: i for i, k in order.items()}
+    got = Counter(tuple(r) for r in substring.drop_repeats(frame, window=12).collect())
+    assert got == Counter((back.get(r[0]), *r[1:]) for r in want)
 
 
 def test_substring_empty(empty):
@@ -576,25 +713,72 @@ def test_brown_scores(spark, docs, given, monkeypatch):
         assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
-def test_brown_model_is_a_distribution(spark, monkeypatch):
-    """Over the vocabulary and one unseen word for each class, the next word's probabilities add up to one."""
+def test_brown_classes_and_scores_from_plain_counts(spark, monkeypatch):
+    """Every word's class by its own contexts, every score by plain counts, and the probabilities of the next word
+    add up to one over the vocabulary and one unseen word for each class."""
+    for name, value in (("HEAD", 30), ("UNITS", 12), ("CLASSES", 5), ("LEAST", 3), ("SUFFIXES", 7)):
+        monkeypatch.setattr(brown_lm, name, value)
     rng = random.Random(1)
-    monkeypatch.setattr(brown_lm, "UNITS", 15)
-    monkeypatch.setattr(brown_lm, "CLASSES", 6)
-    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(30)) for _ in range(50)]
-    model, counts, total, vocabulary = brown_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    held = {bytes(r.word): r.n for r in counts.collect()}
-    assert (sum(held.values()), len(held)) == (total, vocabulary)
-    by_class = Counter()
-    for w, n in held.items():
-        by_class[model.of[model.units(w)]] += (n + 1) / 10 ** model.emission[model.of[model.units(w)]]
-    for c in range(6):
-        assert sum(10 ** model.step[c, d] * (by_class[d] + 1 / 10 ** model.emission[d]) for d in range(6)) == pytest.approx(1)
-    n, known, logs, rest, others = model.score(texts[0])
-    path = [0] + [model.of[model.units(w.encode())] for w in texts[0].split()] + [0]
-    want = sum(model.step[a, b] - model.emission[b] for a, b in zip(path, path[1:], strict=False))
-    assert rest == pytest.approx(want) and n == 31 and known == 31 and not others
-    assert logs == pytest.approx(sum(math.log10(held[w.encode()] + 1) for w in texts[0].split()) + math.log10(held[b""] + 1))
+    pool = [f"{a}{b}é" for a in "abcdef" for b in "xyzuvw"] + [f"r{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(pool, [1 / (i + 1) for i in range(len(pool))], k=30)) for _ in range(50)] + [None, "", "new words r1 only"]
+    frame = spark.createDataFrame([(i, t, i < 45) for i, t in enumerate(texts)], "doc_id long, text string, learns boolean")
+    rows, model, total, vocabulary = brown_lm.fitted(frame)
+    rows = {r.doc_id: r for r in rows.collect()}
+    seqs = [(t or "").split() + [""] for t in texts]
+    counts = Counter(w for s in seqs[:45] for w in s)
+    assert (sum(counts.values()), len(counts)) == (total, vocabulary)
+
+    cls = {}
+    for s, i in zip(seqs, sorted(rows), strict=True):
+        assert len(rows[i].path) == len(s)
+        for w, c in zip(s, rows[i].path, strict=True):
+            assert cls.setdefault(w, c) == c  # one class a word
+    assert cls[""] == 0 and all(c > 0 for w, c in cls.items() if w)
+
+    units = [""] + [w for w, _ in sorted(((w, n) for w, n in counts.items() if w), key=lambda p: (-p[1], p[0].encode()))[:12]]
+    bigrams = Counter()
+    for s in seqs[:45]:
+        for a, b in zip(["", *s], s, strict=False):
+            bigrams[a, b] += 1
+    grid = np.zeros((5, 5))
+    for (a, b), n in bigrams.items():
+        if a in units and b in units:
+            grid[cls[a], cls[b]] += n
+    pmi = lambda c, d: math.log((grid[c, d] + 0.5) * grid.sum() / ((grid[c].sum() + 1) * (grid[:, d].sum() + 1)))
+    checked = 0
+    for w in set(counts) - set(units):
+        left, right = Counter(), Counter()
+        for (a, b), n in bigrams.items():
+            if b == w and a in units:
+                left[cls[a]] += n
+            if a == w and b in units:
+                right[cls[b]] += n
+        if sum(left.values()) + sum(right.values()) >= 3:
+            gain = [sum(n * pmi(c, k) for c, n in left.items()) + sum(n * pmi(k, c) for c, n in right.items()) for k in range(1, 5)]
+            assert gain[cls[w] - 1] == pytest.approx(max(gain))
+            checked += 1
+    assert checked > 20
+
+    pairs, size, held = Counter(), Counter(), Counter()
+    for (a, b), n in bigrams.items():
+        pairs[cls[a], cls[b]] += n
+    for w, n in counts.items():
+        size[cls[w]] += 1
+        held[cls[w]] += n
+
+    def step(a, b):
+        base = (held[b] + 1) / (total + 5)
+        row = [pairs[a, c] for c in range(5)]
+        kinds = sum(n > 0 for n in row)
+        return (pairs[a, b] + kinds * base) / (sum(row) + kinds) if sum(row) else base
+
+    for a in range(5):
+        one = sum(step(a, c) * (held[c] + size[c] + 1) / (held[c] + size[c] + 1) for c in range(5))
+        assert one == pytest.approx(1)
+    got = {r.doc_id: r for r in brown_lm.score(frame, F.col("learns")).collect()}
+    for i, s in enumerate(seqs):
+        want = sum(math.log10(step(cls[a], cls[b]) * (counts[b] + 1) / (held[cls[b]] + size[cls[b]] + 1)) for a, b in zip(["", *s], s, strict=False))
+        assert got[i].score == pytest.approx(want) and got[i].perplexity == pytest.approx(10 ** (-want / len(s)))
 
 
 def test_exchange_improves_and_ends():
@@ -629,7 +813,7 @@ def test_brown_learns_word_order(spark):
 
 def test_brown_of_nothing(empty, docs):
     assert brown_lm.score_documents(empty).count() == 0
-    alone = brown_lm.score(docs.filter("doc_id = 100"), docs.limit(0)).first()
+    alone = brown_lm.score(docs.filter("doc_id = 100"), F.lit(False)).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score) == (1, 0, 0, 0.0)
 
 
@@ -660,6 +844,60 @@ def test_main_text(page, want):
     assert html_text.extract(page) == want
 
 
+RUSSIAN = "В саду было тихо, и кот сидел на стене у ворот, и смотрел в сад, и ждал, что из дома в сад выйдет хозяин и даст ему рыбы. "
+JAPANESE = "庭の猫は門のそばの壁の上に座っていた。家の人が庭に出て来るのを待っていたのである。"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{STORY * 3}</p><div class='share-price'><p>{STORY * 2}</p></div><section id=social-history><p>{STORY * 3}</p></section></article>", " ".join([(STORY * 3).strip(), (STORY * 2).strip(), (STORY * 3).strip()])),
+    (f"<article><div class='ad-box'><p>{STORY * 3}</p></div><p>{STORY * 3}</p><div class='related-work'><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div></article>", (STORY * 3).strip()),
+    (f"<article><p>{STORY}<span class='ad'>buy <span>now</span> LEAK</span></p></article>", STORY.strip()),
+    (f"<div id=menu><a href=1>Дом</a> <a href=2>Сад</a></div><div><p>{RUSSIAN * 3}</p><p>{RUSSIAN * 2}</p></div><div>© сайт</div>", f"{(RUSSIAN * 3).strip()} {(RUSSIAN * 2).strip()}"),
+    (f"<div><a href=1>家</a> <a href=2>庭</a></div><div><p>{JAPANESE * 6}</p></div><div>© 猫</div>", JAPANESE * 6),
+    (f"<div><p>{STORY * 3}</p><p>Tea.</p><p>{STORY * 3}</p></div><div><p>{'Buy cheap quick shoes online today, great offers wait inside our shop. ' * 4}</p></div>", f"{(STORY * 3).strip()} Tea. {(STORY * 3).strip()}"),
+])
+def test_densities_decide(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_stop_words_and_link_density_have_effect(monkeypatch):
+    prose = f"<div><p>{STORY * 3}</p></div><div><p>{' '.join(f'<a href=x>{w}</a>' for w in STORY.split())}</p></div>"
+    assert html_text.extract(prose) == (STORY * 3).strip()
+    monkeypatch.setattr(html_text, "MAX_LINKS", 2)
+    assert html_text.extract(prose) == (STORY * 4).strip() or len(html_text.extract(prose)) > len(STORY * 3)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    monkeypatch.setattr(html_text, "LEARNED", 0)
+    assert html_text.extract(prose) == ""
+
+
+def test_recall_of_blocks_without_marks():
+    """Pages whose containers say nothing: recall and precision in words against what was planted."""
+    rng = random.Random(8)
+    words_ = STORY.split()
+    found = planted = right = 0
+    for _ in range(60):
+        body = [" ".join(rng.choice(words_) for _ in range(rng.choice([4, 40, 80, 120]))) for _ in range(6)]
+        menu = "".join(f"<li><a href=/{i}>{rng.choice(words_)}</a></li>" for i in range(8))
+        page = f"<div><ul>{menu}</ul></div><div>{''.join(f'<p>{p}.</p>' for p in body)}</div><div>Copyright the site</div>"
+        want, got = Counter(" ".join(p + "." for p in body).split()), Counter(html_text.extract(page).split())
+        planted, found, right = planted + sum(want.values()), found + sum(got.values()), right + sum((want & got).values())
+    assert right / planted > 0.95 and right / found > 0.99
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def took(n):
+        page = "<div>" * n + f"<p>{STORY * 3}" + "</div>" * n + "</p>" * n + "<p>x" * n
+        began = time.perf_counter()
+        html_text.extract(page)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(took(4000), 0.05)
+
+
 def test_unclosed_markup_ends():
     for page in ("<" * 2000, "<p " * 3000, "<p a='" * 500, "<!--" * 1000, "<script>" * 50, "&#" * 1000, "<a b=\"" + "x" * 20_000):
         html_text.extract("<article><p>x</p>" + page)
