@@ -60,7 +60,7 @@ def do_validate(spark: SparkSession, config: Config) -> bool:
     prices = parse.parse_prices(sequenced(read_raw(spark, config.get("prices"))), mode=config.get("price.mode"), keep=("seq",))
     out = Outputs(spark, config.get("out"))
     tables = {"position-by-account-ticker": out.by_account, "position-by-ticker": out.by_ticker, "mv-by-account-ticker": out.mv_account, "mv-by-ticker": out.mv_ticker}
-    found = validate.validate(trades, prices, {k: v.read() for k, v in tables.items() if k in wanted(config) or k.startswith("position")}, ("event_time", "qty", "account", "ticker")).collect()
+    found = validate.validate(trades, prices, {k: v.read() for k, v in tables.items() if k in wanted(config) or k.startswith("position")}, ("event_time", "qty", "account", "ticker"), config.int("validate.lag.ms")).collect()
     for r in found:
         print(f"[{'PASS' if r.ok else 'FAIL'}] {r.check}: {r.detail}")
     return all(r.ok for r in found)

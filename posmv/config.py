@@ -17,6 +17,8 @@ DEFAULTS: dict[str, str] = {
     "price.conflate.ms": "0",
     "sink.delivery.guarantee": "exactly-once",
     "null.key.sentinel": "?",
+    "validate.lag.ms": "2000",
+    "state.partitions": "4",
 }
 #: Older names that count where the newer one is not set.
 FALLBACKS = {"position.emit.interval.ms": "emit.interval.ms", "mv.emit.interval.ms": "mv.reval.interval.ms", "price.salt.conflate.ms": "mv.emit.interval.ms"}

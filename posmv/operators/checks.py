@@ -47,14 +47,23 @@ def order_violations(log: DataFrame, key: str, time: str, arrival: str, value: s
     return seen.groupBy(key).agg(*sums, (F.max_by(time, arrival) < F.max(time)).alias("ends_stale"))
 
 
-def classify(published: DataFrame, positions: DataFrame, stats: DataFrame, latest: DataFrame) -> DataFrame:
-    """published with verdict: exact if it is position times the final price, lag if its implied price lies in the
-    symbol's range of prices, else wrong; rows without a position or price are left out."""
+def samples(published: DataFrame, expected: DataFrame, keys: list[str], value: str, first: int = 3) -> DataFrame:
+    """The first keys, in their order, whose values differ or that one side lacks: keys, got, want."""
+    a = published.select(*keys, F.col(value).alias("got"), F.lit(True).alias("p"))
+    b = expected.select(*keys, F.col(value).alias("want"), F.lit(True).alias("e"))
+    wrong = a.join(b, keys, "full_outer").filter(F.col("p").isNull() | F.col("e").isNull() | ~F.col("got").eqNullSafe(F.col("want")))
+    return wrong.select(*keys, "got", "want").orderBy(*keys).limit(first)
+
+
+def classify(published: DataFrame, positions: DataFrame, recent: DataFrame, latest: DataFrame) -> DataFrame:
+    """published with verdict: exact if it is position times the final price, lag if its implied price lies in the range
+    of `recent` (min_price and max_price of the symbol's ticks that are not too old), else wrong; rows without a
+    position or price are left out."""
     by = [c for c in ("account", "ticker") if c in published.columns]
     joined = (
         published.select(*by, "mv").join(positions.select(*by, "net_qty"), by)
         .join(latest.select(F.col("symbol").alias("ticker"), "price"), "ticker")
-        .join(stats.select(F.col("symbol").alias("ticker"), "min_price", "max_price"), "ticker")
+        .join(recent.select(F.col("symbol").alias("ticker"), "min_price", "max_price"), "ticker")
     )
     implied = S.implied_price("mv", "net_qty")
     verdict = F.when(S.market_value() == F.col("mv"), "exact").when(implied.between(F.col("min_price"), F.col("max_price")), "lag").otherwise("wrong")
@@ -107,6 +116,13 @@ def staleness(published: DataFrame, latest: DataFrame, stats: DataFrame) -> Data
     return joined.withColumn("stale_ms", F.when(F.abs(cents) < 0.5, 0.0).otherwise(F.greatest(F.lit(0.0), cents) * F.col("ms_per_tick")))
 
 
+def staleness_distribution(stale: DataFrame, limits: tuple[int, ...] = (2000, 5000, 10000)) -> DataFrame:
+    """One row over staleness: n, exact, p50, p90, p99 and max in ms, and how many are beyond each limit."""
+    ms = stale.select("stale_ms", F.round("stale_ms").cast("bigint").alias("ms"))
+    each = [F.expr(f"cast(percentile_disc({p}) within group (order by ms) as bigint)").alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99)]
+    return ms.agg(F.count("*").alias("n"), F.count_if(F.col("stale_ms") == 0).alias("exact"), *each, F.max("ms").alias("max"), *[F.count_if(F.col("ms") > x).alias(f"beyond_{x}") for x in limits])
+
+
 def beyond(df: DataFrame, value: str, limits: tuple[int, ...] = (2000, 5000, 10000)) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(value) > x).alias(f"beyond_{x}") for x in limits])
 

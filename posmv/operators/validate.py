@@ -22,16 +22,16 @@ def _equal(published: DataFrame, expected: DataFrame, keys: list[str], name: str
     return found.select(F.lit(name).alias("check"), ok.alias("ok"), F.format_string("%d keys, %d different, %d missing, %d unexpected", "keys", "different", "missing", "unexpected").alias("detail"))
 
 
-def _values(published: DataFrame, held: DataFrame, stats: DataFrame, latest: DataFrame, name: str) -> DataFrame:
+def _values(published: DataFrame, held: DataFrame, recent: DataFrame, latest: DataFrame, name: str) -> DataFrame:
     """Against the outputs' own positions and the final raw prices, so lag is told from error; what is skipped is told
     as well, as it is not proven right."""
-    verdicts = checks.classify(published, held, stats, latest)
+    verdicts = checks.classify(published, held, recent, latest)
     count = lambda v: F.count_if(F.col("verdict") == v)
     return _row(verdicts, name, count("wrong") == 0, F.format_string("%d exact, %d lag, %d wrong", count("exact"), count("lag"), count("wrong")))
 
 
-def validate(trades: DataFrame, prices: DataFrame, out: dict[str, DataFrame], order: tuple[str, ...]) -> DataFrame:
-    """check, ok, detail. trades and prices as they were sent (ids may repeat); out by the names of the outputs."""
+def validate(trades: DataFrame, prices: DataFrame, out: dict[str, DataFrame], order: tuple[str, ...], lag_ms: int = 2000) -> DataFrame:
+    """check, ok, detail. A value is late, not wrong, if its price was in force within lag_ms of its symbol's newest tick. trades and prices as they were sent (ids may repeat); out by the names of the outputs."""
     first = dedup.first_wins(trades, order)
     by_account, by_ticker = out["position-by-account-ticker"], out["position-by-ticker"]
     rows = [
@@ -41,12 +41,12 @@ def validate(trades: DataFrame, prices: DataFrame, out: dict[str, DataFrame], or
         _row(checks.completeness(by_account, by_ticker), "completeness", F.count_if(~F.col("complete")) == 0, F.format_string("%d tickers, %d incomplete", F.count("*"), F.count_if(~F.col("complete")))),
     ]
     if "mv-by-ticker" in out:
-        latest, stats = px.latest(prices), px.stats(prices)
-        rows.append(_values(out["mv-by-ticker"], by_ticker, stats, latest, "market values by ticker"))
+        latest, recent = px.latest(prices), px.stats(px.trailing(prices, lag_ms))
+        rows.append(_values(out["mv-by-ticker"], by_ticker, recent, latest, "market values by ticker"))
         unpriced = by_ticker.join(out["mv-by-ticker"].select("ticker"), "ticker", "left_anti").join(latest.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
         rows.append(_row(unpriced, "coverage", F.count("*") == 0, F.format_string("%d tickers with a price have no value", F.count("*"))))
     if "mv-by-account-ticker" in out:
-        rows.append(_values(out["mv-by-account-ticker"], by_account, stats, latest, "market values by account and ticker"))
+        rows.append(_values(out["mv-by-account-ticker"], by_account, recent, latest, "market values by account and ticker"))
         bad = checks.arithmetic_errors(out["mv-by-account-ticker"])
         rows.append(_row(bad, "arithmetic", F.count("*") == 0, F.format_string("%d rows where price times quantity is not the value", F.count("*"))))
     return reduce(DataFrame.unionByName, rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from posmv.config import Config
 from posmv.operators import dedup, marketvalue, prices as P
-from posmv.operators.positions import ACCOUNT_TICKER, TICKER, positions
+from posmv.operators.positions import ACCOUNT_TICKER, TICKER, positions, roll_up
 
 OUTPUTS = ("position-by-account-ticker", "position-by-ticker", "mv-by-account-ticker", "mv-by-ticker")
 
@@ -29,11 +29,14 @@ def latest_price(prices: DataFrame, config: Config) -> DataFrame:
 
 
 def outputs(trades: DataFrame, prices: DataFrame | None, config: Config, order: tuple[str, ...]) -> dict[str, DataFrame]:
-    """Each wanted output. The account's positions are summed once more for the ticker's."""
+    """Each wanted output. The account's positions, if they are wanted, are summed once more for the ticker's, so one
+    plan of several outputs has dedup and positions once."""
     if config.bool("dedup.enabled"):
         trades = dedup.first_wins(trades, order)
-    found: dict[str, DataFrame] = {}
-    for name in wanted(config):
-        held = positions(trades, ACCOUNT_TICKER if "account" in name else TICKER)
+    names, found = wanted(config), {}
+    by_account = positions(trades, ACCOUNT_TICKER)
+    by_ticker = roll_up(by_account) if any("account" in n for n in names) else positions(trades, TICKER)
+    for name in names:
+        held = by_account if "account" in name else by_ticker
         found[name] = held if name.startswith("position") else marketvalue.market_values(held, latest_price(prices, config))
     return found

@@ -361,14 +361,10 @@ def mv_extreme_price(spark, d):
     return marketvalue.market_values(held, tick)
 
 
-_DAY1 = "p0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_time DESC, seq DESC) AS rn FROM prices), recent AS (SELECT symbol, price, event_time, seq FROM p0 WHERE rn <= 3)"
-
-
-@query(_sql(*_ALL, _DAY1, f"SELECT p.account, p.ticker, l.seq, p.net_qty, l.price, {_MV} AS mv, greatest(p.as_of, l.event_time) AS as_of FROM by_account p JOIN recent l ON p.ticker = l.symbol"))
+@query(_sql(*_ALL, f"SELECT p.account, p.ticker, l.seq, p.net_qty, l.price, {_MV} AS mv, greatest(p.as_of, l.event_time) AS as_of FROM by_account p JOIN prices l ON p.ticker = l.symbol"))
 def mv_per_tick(spark, d):
-    """Every holder at each of the last three ticks: what comes out without conflation."""
-    ticks = px.ring(fixtures.prices(spark, d), 3)
-    return marketvalue.revalue_on_ticks(pos.positions(_firsts(spark, d)), ticks)
+    """Every holder at each tick: what comes out without conflation."""
+    return marketvalue.revalue_on_ticks(pos.positions(_firsts(spark, d)), fixtures.prices(spark, d))
 
 
 @query(_sql(*_ALL, _MVT, "SELECT count(*) AS bad FROM mvt WHERE mv <> (net_qty::DECIMAL(20,0) * price)::DECIMAL(38,2)"))
@@ -418,20 +414,51 @@ def ends_stale(spark, d):
     return order_violations(spark, d).agg(F.count("*").alias("keys"), F.count_if("ends_stale").alias("ends_stale"))
 
 
+@query(_sql(_T, _F, _PA, """w AS (SELECT account, ticker, CASE WHEN ticker = 'SYM0005' THEN NULL WHEN account = 'ACC-009' THEN net_qty + 1 ELSE net_qty END AS got, net_qty AS want FROM by_account)
+SELECT * FROM w WHERE got IS DISTINCT FROM want ORDER BY account, ticker LIMIT 3"""))
+def mismatch_samples(spark, d):
+    """The first three keys that were published wrong or not at all."""
+    want = pos.positions(_firsts(spark, d))
+    got = want.filter("ticker <> 'SYM0005'").withColumn("net_qty", F.col("net_qty") + F.when(F.col("account") == "ACC-009", 1).otherwise(0))
+    return checks.samples(got, want, ["account", "ticker"], "net_qty")
+
+
+_DAY1 = "p0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_time DESC, seq DESC) AS rn FROM prices)"
 _PREV = "prev AS (SELECT symbol, price FROM p0 WHERE rn = 2)"
+#: The ticks of the tables are days apart.
+_LAG = 5 * DAY
+_WIN = f"win AS (SELECT symbol, min(price) AS wmin, max(price) AS wmax FROM (SELECT *, max(event_time) OVER (PARTITION BY symbol) AS newest FROM prices) WHERE event_time >= newest - {_LAG} GROUP BY symbol)"
+_USED = "used AS (SELECT l.symbol, (CASE WHEN l.symbol < 'SYM0030' THEN coalesce(v.price, l.price) WHEN l.symbol < 'SYM0050' THEN s.max_price + 1 ELSE l.price END)::DECIMAL(18,2) AS price FROM latest l JOIN stats s ON s.symbol = l.symbol LEFT JOIN prev v ON v.symbol = l.symbol)"
+_PUB = "pub AS (SELECT p.ticker, p.net_qty, u.price AS used, (p.net_qty::DECIMAL(20,0) * u.price)::DECIMAL(38,2) AS mv FROM by_ticker p JOIN used u ON p.ticker = u.symbol)"
 
 
-@query(_sql(*_ALL, _DAY1, _PREV, _ST, f"""pub AS (SELECT p.ticker, p.net_qty, (p.net_qty::DECIMAL(20,0) * (CASE WHEN p.ticker < 'SYM0030' THEN coalesce(v.price, l.price) WHEN p.ticker < 'SYM0050' THEN s.max_price + 1 ELSE l.price END)::DECIMAL(18,2))::DECIMAL(38,2) AS mv,
-  {_MV} AS want, v.price AS vp, s.min_price, s.max_price FROM by_ticker p JOIN latest l ON p.ticker = l.symbol JOIN stats s ON s.symbol = l.symbol LEFT JOIN prev v ON v.symbol = l.symbol)""",
-"SELECT ticker, net_qty, mv, CASE WHEN mv = want THEN 'exact' WHEN net_qty <> 0 AND ticker < 'SYM0030' THEN 'lag' ELSE 'wrong' END AS verdict FROM pub"))
-def mv_check_classify(spark, d):
+def _published(spark, d):
     """Market values of which some were made with an older price and some with a price that never was."""
     prices = fixtures.prices(spark, d)
-    held, latest, stats = pos.positions(_firsts(spark, d), pos.TICKER), px.latest(prices), px.stats(prices)
+    latest, stats = px.latest(prices), px.stats(prices)
     older = px.ring(prices, 2).filter("age = 2").select("symbol", F.col("price").alias("older"))
     used = F.when(F.col("symbol") < "SYM0030", F.coalesce("older", "price")).when(F.col("symbol") < "SYM0050", F.col("max_price") + 1).otherwise(F.col("price"))
     fed = latest.join(stats.select("symbol", "max_price"), "symbol").join(older, "symbol", "left").select("symbol", used.cast("decimal(18,2)").alias("price"), "event_time")
-    return checks.classify(marketvalue.market_values(held, fed), held, stats, latest)
+    held = pos.positions(_firsts(spark, d), pos.TICKER)
+    return marketvalue.market_values(held, fed), held, prices
+
+
+@query(_sql(*_ALL, _DAY1, _PREV, _ST, _WIN, _USED, _PUB, """SELECT ticker, net_qty, mv, CASE WHEN net_qty * l.price = mv THEN 'exact' WHEN net_qty <> 0 AND used BETWEEN wmin AND wmax THEN 'lag' ELSE 'wrong' END AS verdict
+FROM pub JOIN latest l ON l.symbol = ticker JOIN win w ON w.symbol = ticker"""))
+def mv_check_classify(spark, d):
+    """Only prices that were in force shortly before the newest tick count as lag."""
+    published, held, prices = _published(spark, d)
+    return checks.classify(published, held, px.stats(px.trailing(prices, _LAG)), px.latest(prices))
+
+
+@query(_sql(*_ALL, _DAY1, _PREV, _ST, _USED, _PUB, """st AS (SELECT (l.price - used)::DOUBLE * 100 AS cents, (last_ts - first_ts) / (ticks - 1) AS per FROM pub JOIN latest l ON l.symbol = ticker JOIN stats s ON s.symbol = ticker WHERE net_qty <> 0 AND ticks > 1),
+ms AS (SELECT CASE WHEN abs(cents) < 0.5 THEN 0.0 ELSE greatest(0.0, cents) * per END AS stale_ms FROM st), r AS (SELECT stale_ms, round(stale_ms)::BIGINT AS ms FROM ms)
+SELECT count(*) AS n, count(*) FILTER (stale_ms = 0) AS exact, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90, quantile_disc(ms, 0.99) AS p99, max(ms) AS max,
+  count(*) FILTER (ms > 2000) AS beyond_2000, count(*) FILTER (ms > 5000) AS beyond_5000, count(*) FILTER (ms > 10000) AS beyond_10000 FROM r"""))
+def mv_staleness(spark, d):
+    """How late the published values are, where a symbol's price rises by a cent a tick."""
+    published, _, prices = _published(spark, d)
+    return checks.staleness_distribution(checks.staleness(published, px.latest(prices), px.stats(prices)))
 
 
 _GAP = "gaps AS (SELECT symbol, lead(event_time) OVER (PARTITION BY symbol ORDER BY event_time, seq) - event_time AS gap_ms FROM prices), g AS (SELECT * FROM gaps WHERE gap_ms IS NOT NULL)"

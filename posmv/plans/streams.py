@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posmv.config import Config
@@ -14,27 +14,29 @@ from posmv.streaming.jobs import Outputs, finish
 from posmv.streaming.sinks import KeyedTable, shared_path
 from posmv.sources import schemas
 
-#: State partitions of these bounded runs.
-PARTITIONS = 4
 NOW = {"availableNow": True}
 
 
 def session(spark: SparkSession) -> SparkSession:
     """A session of its own, so that its settings touch no other query."""
     own = spark.newSession()
-    own.conf.set("spark.sql.shuffle.partitions", PARTITIONS)
+    own.conf.set("spark.sql.shuffle.partitions", Config().int("state.partitions"))
     own.conf.set("spark.sql.session.timeZone", "UTC")
     return own
 
 
 def staged_trades(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of trades in the order of their time, every tenth sent again verbatim; first-wins is decided by the
-    order of arrival there, so of differing rows with one id only the first is staged."""
-    first = dedup.first_wins(fixtures.trades(spark, d), fixtures.FIRST).select("trade_id", "account", "ticker", "qty", "event_time")
+    """A stream of trades in the order of their time, every tenth sent again verbatim. First-wins is decided by the order
+    of arrival there: the rows that repeat an id with other values arrive after all others."""
+    columns = ["trade_id", "account", "ticker", "qty", "event_time"]
+    all_ = fixtures.trades(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("trade_id").orderBy(*fixtures.FIRST)))
+    first = all_.filter("rank = 1").select(columns)
     copies = F.when(F.pmod(F.xxhash64("trade_id"), F.lit(10)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     path = shared_path(spark, "staged-trades")
     sent = first.withColumn("copy", F.explode(copies)).drop("copy")
     sent.repartitionByRange(3, "event_time").write.parquet(path)
+    # files are read by their time of change: these come later
+    all_.filter("rank > 1").select(columns).repartitionByRange(2, "event_time").write.mode("append").parquet(path)
     return stream_files(spark, path, sent.schema, files_per_trigger=1)
 
 

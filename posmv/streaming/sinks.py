@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="posmv-")
+    """A new path below the folder that spark.checkpoint.dir names; a temporary one where it is unset and Spark runs on
+    one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="posmv-")
     return f"{base.rstrip('/')}/posmv/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,20 +63,19 @@ class KeyedTable:
         return last.select(*[F.col(c) if c in self.keys else F.col(f"v.{c}") for c in self.columns])
 
     def fold(self, upto: int) -> None:
-        """Replace all batches up to one by their state, if there are more than fold_after."""
+        """Replace all batches up to one by their state, if there are more than fold_after.
+
+        The state is written beside them, under the last of their numbers, and only then are they deleted. Its rows are
+        those that they stand for, so a reader sees the same state before, between and after, wherever it breaks off.
+        """
         fs, where = self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        old = [s.getPath() for s in fs.listStatus(where) if int(s.getPath().getName().partition("=")[2]) <= upto]
+        number = re.compile(r"b=(-?\d+)")
+        old = [s.getPath() for s in fs.listStatus(where) if int(number.match(s.getPath().getName())[1]) <= upto]
         if len(old) <= self.fold_after:
             return
-        state = self.read(upto + 1).withColumn("batch", F.lit(upto).cast("bigint"))
-        temp = f"{self.path}-fold-{uuid.uuid4().hex}"
-        state.write.parquet(temp)
+        self.read(upto + 1).withColumn("batch", F.lit(upto).cast("bigint")).write.parquet(f"{self.path}/b={upto}-fold-{uuid.uuid4().hex}")
         for p in old:
-            if p.getName() != f"b={upto}":
-                fs.delete(p, True)
-        fs.delete(path(f"{self.path}/b={upto}"), True)
-        fs.rename(path(temp), path(f"{self.path}/b={upto}"))
+            fs.delete(p, True)
 
 
 def broker_options(servers: str, topic: str, guarantee: str = "exactly-once", prefix: str = "posmv", more: dict[str, str] | None = None) -> dict[str, str]:

@@ -224,6 +224,20 @@ def test_verdicts(spark):
     assert rows(got, "ticker", "verdict") == [("Q", "wrong"), ("X", "exact"), ("Y", "lag"), ("Z", "wrong")]
 
 
+def test_old_prices_are_wrong_not_late(spark):
+    held = spark.createDataFrame([("X", 10, 1)], schemas.TICKER_POSITION)
+    p = prices(spark, [("X", "1.00", 1), ("X", "2.00", 5000), ("X", "3.00", 6000)])
+    verdict = lambda mv, lag: checks.classify(spark.createDataFrame([("X", Decimal(mv))], "ticker string, mv decimal(38,2)"), held, px.stats(px.trailing(p, lag)), px.latest(p)).first().verdict
+    assert [verdict("20.00", 2000), verdict("10.00", 2000), verdict("10.00", 5999), verdict("20.00", 999)] == ["lag", "wrong", "lag", "wrong"]
+
+
+def test_samples_of_mismatches(spark):
+    want = spark.createDataFrame([(k, i) for i, k in enumerate("ABCDE")], "k string, v int")
+    got = spark.createDataFrame([("A", 0), ("B", 9), ("C", None), ("Z", 1)], "k string, v int")
+    assert [tuple(r) for r in checks.samples(got, want, ["k"], "v").collect()] == [("B", 9, 1), ("C", None, 2), ("D", None, 3)]
+    assert checks.samples(want, want, ["k"], "v").count() == 0
+
+
 def test_staleness_in_ticks(spark):
     p = prices(spark, [("X", f"1.0{i}", 1000 * i) for i in range(5)])
     out = spark.createDataFrame([("X", 10, Decimal("10.20")), ("X", 10, Decimal("10.40"))], "ticker string, net_qty bigint, mv decimal(38,2)")

@@ -87,6 +87,28 @@ def test_fold(own, tmp_path):
     assert table.log().count() == before
 
 
+def test_fold_that_breaks_off(own, tmp_path, monkeypatch):
+    """The old batches are still there, or some of them: the state is the same."""
+    table = KeyedTable(own, str(tmp_path / "t"), schemas.TICKER_POSITION, ("ticker",), fold_after=2)
+    table.fold_after = 99
+    for i in range(6):
+        table.upsert(own.createDataFrame([("A", i, i), (f"K{i}", i, i)], schemas.TICKER_POSITION), i)
+    want = rows(table.read(), "ticker", "net_qty")
+    kept = {p.name: p for p in (tmp_path / "t").iterdir()}
+    import shutil
+
+    shutil.copytree(tmp_path / "t", tmp_path / "copy")
+    table.fold_after = 2
+    table.fold(4)
+    assert rows(table.read(), "ticker", "net_qty") == want
+    for name in list(kept)[:3]:  # as if their deletion had not been reached
+        shutil.copytree(tmp_path / "copy" / name, tmp_path / "t" / name, dirs_exist_ok=True)
+    assert rows(table.read(), "ticker", "net_qty") == want
+    table.upsert(own.createDataFrame([("A", 9, 9)], schemas.TICKER_POSITION), 6)
+    table.fold(5)
+    assert dict(rows(table.read(), "ticker", "net_qty"))["A"] == 9
+
+
 def test_dedup_within_time(own, tmp_path):
     src = str(tmp_path / "in")
     trades(own, [("T", "A", "X", 1, 1000), ("T", "A", "X", 1, 1000), ("U", "A", "X", 2, 2000)]).coalesce(1).write.parquet(src)
