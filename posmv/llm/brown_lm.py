@@ -115,6 +115,12 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _counted(rows: DataFrame, column: str, size: int, pairs) -> np.ndarray:
     """Counts of pairs of numbers below size over all lists of a column: a list's first number follows a 0. pairs
     gives the arrays of left and right numbers."""
@@ -217,7 +223,7 @@ def contexts(rows: DataFrame, of: np.ndarray, head: int) -> DataFrame:
         def out(ids, words, ctx, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(words, pa.binary()), pa.array(ctx, pa.int16()), pa.array(n, pa.int64())], ["id", "word", "ctx", "n"])
 
-        for batch in batches:
+        for batch in _parts(batches):
             ids, _ = _flat(batch.column("ids"))
             words = batch.column("others").flatten().to_pylist()
             unit = (ids >= 0) & (ids < units)
@@ -378,7 +384,7 @@ def fitted(docs: DataFrame) -> tuple[DataFrame, Model, int, int]:
     answers = asked.join(beyond, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("found"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, at = _flat(batch.column("ids"))
             out = [shared.value.path(ids[a:b], o, f or []) for a, b, o, f in zip(at, at[1:], batch.column("others").to_pylist(), batch.column("found").to_pylist())]
             columns = [pa.array([x[0].astype(np.uint8).tobytes() for x in out], pa.binary()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int64())]

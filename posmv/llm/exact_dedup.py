@@ -48,8 +48,8 @@ def directory(keys: DataFrame, total: int, capacity: int) -> tuple[DataFrame, in
     return materialize(found.select("prefix", slot.alias("slot"), "depth"), "exact-directory"), bits
 
 
-def _placed(docs: DataFrame, doc_id: str, text: str, capacity: int, carried: Column) -> tuple[DataFrame, DataFrame | None]:
-    """`carried` as d, id, norm, keep (the id that stays), group_size, first, slot, depth and h of every row: of the rows
+def _placed(docs: DataFrame, doc_id: str, text: str, capacity: int, carried: Column, within: bool) -> tuple[DataFrame, DataFrame | None]:
+    """`carried` (with the text in it, if `within`) as d, id, norm, keep (the id that stays), group_size, first, slot, depth and h of every row: of the rows
     that owners chain, and of those with hot keys, if there are any."""
     rows = docs.select(carried.alias("d"), F.col(doc_id).alias("id"), normalised(F.col(text)).alias("norm")).withColumn("h", F.xxhash64("norm"))
     keys = materialize(rows.groupBy("h").agg(F.count("*").alias("n")), "exact-keys")
@@ -62,8 +62,12 @@ def _placed(docs: DataFrame, doc_id: str, text: str, capacity: int, carried: Col
 
     each = Window.partitionBy("slot", "h", "norm").orderBy(F.col("id").asc_nulls_last())
     whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    owned = placed.join(F.broadcast(hot), "h", "left_anti").repartitionByRange("slot")
-    chained = owned.select("*", F.first("id").over(whole).alias("keep"), F.count("*").over(whole).alias("group_size"), (F.row_number().over(each) == 1).alias("first"))
+    owned = placed.join(F.broadcast(hot), "h", "left_anti")
+    if within:  # one text is sent, not two
+        owned = owned.drop("norm").repartitionByRange("slot").withColumn("norm", normalised(F.col("d").getField(text)))
+    else:
+        owned = owned.repartitionByRange("slot")
+    chained = owned.select("d", "id", "norm", "h", "slot", "depth", F.first("id").over(whole).alias("keep"), F.count("*").over(whole).alias("group_size"), (F.row_number().over(each) == 1).alias("first"))
     if hot.isEmpty():
         return chained, None
 
@@ -84,7 +88,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     text; an empty table gives no rows. Other columns of docs are not read, whatever their names.
     """
     index = []
-    for part in _placed(docs, doc_id, text, capacity, F.lit(True)):
+    for part in _placed(docs, doc_id, text, capacity, F.lit(True), False):
         if part is not None:
             found = part.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", F.col("first").alias("kept"), F.sha2("norm", 256).alias("text_sha256"), F.col("slot").alias("bucket"), "depth", "h")
             index.append(materialize(found, "exact-buckets").drop("h"))
@@ -93,7 +97,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps."""
-    kept = [p.filter("first").select("d.*") for p in _placed(docs, doc_id, text, capacity, F.struct(*[F.col(f"`{c}`") for c in docs.columns])) if p is not None]
+    kept = [p.filter("first").select("d.*") for p in _placed(docs, doc_id, text, capacity, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), True) if p is not None]
     return kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
 
 

@@ -25,25 +25,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posmv.llm.chunks import Spans, text_bytes
 from posmv.llm.common import materialize, slices
 from posmv.llm.components import components
 from posmv.llm.simhash import majority, near_pairs
-from posmv.llm.substring import Words, mix, spans, word_hashes
+from posmv.llm.substring import mix
 
 BANDS, ROWS, RADIUS, BLOCK = 16, 4, 20, 2048
 #: Members of a shard that an asker is checked against at a time.
 NEAREST = 32
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending. Fewer words than a shingle has: the whole sequence is one;
-    no words: one shingle of its own."""
-    held = Words((text or "").encode().lower())
-    n = len(held.list)
-    if not n:
-        return np.zeros(1, np.uint64)
-    starts = np.arange(max(1, n - words + 1))
-    return np.unique(spans(word_hashes(held), starts, np.minimum(starts + words, n)))
+_bytes = np.arange(256)
+_SPACE = (_bytes == 0x20) | ((_bytes >= 9) & (_bytes <= 13))
+_LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
+_rng = np.random.default_rng(23)
+_ODD = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of its shingles, ascending. Fewer words than a shingle has: the whole sequence
+    is one; no words: one shingle of its own."""
+    data, offsets = text_bytes(texts.fill_null(""))
+    solid = np.concatenate([[False], ~_SPACE[data], [False]])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+    if not len(starts):
+        return [np.zeros(1, np.uint64)] * len(texts)
+    each = mix(Spans(_LOWER[data], starts, ends - starts).hash)
+    odd = np.multiply.accumulate(np.full(words, 0x9E3779B97F4A7C15, np.uint64))
+    whole = np.zeros(len(each), np.uint64)  # of the shingle that begins at each word, if it has all its words
+    for k in range(words):
+        whole[: len(each) - k] += each[k:] * odd[k]
+    whole = mix(whole + np.uint64(words))
+    out = []
+    for x, y in zip(at := np.searchsorted(starts, offsets).tolist(), at[1:]):
+        if y - x >= words:
+            out.append(np.unique(whole[x : y - words + 1]))
+        elif y > x:
+            out.append(mix(np.array([(each[x:y] * odd[: y - x]).sum() + np.uint64(y - x)], np.uint64)))
+        else:
+            out.append(np.zeros(1, np.uint64))
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -52,11 +78,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_rng = np.random.default_rng(23)
-_ODD = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys of sets of hashes that follow each other in flat."""
     out = np.zeros((len(starts), BANDS), np.uint64)
@@ -71,7 +92,7 @@ def _marks(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1_000_000):
-            sets = [shingles(t, words) for t in part.column("text").to_pylist()]
+            sets = shingle_sets(part.column("text"), words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
             keys = band_keys(flat, starts).view(np.int64)
@@ -189,8 +210,8 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """row, text to row, set: the shingles' hashes, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["row", "set"])
+        for part in slices(batches, "text", 1_000_000):
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), words)], pa.binary())], ["row", "set"])
 
     return rows.mapInArrow(run, "row long, set binary")
 

@@ -616,7 +616,7 @@ def test_spectrum_and_peaks_by_hand(monkeypatch):
     whole = np.concatenate(list(audio.spectrum(samples)))
     monkeypatch.setattr(audio, "BLOCK", 3)
     assert np.allclose(whole, np.concatenate(list(audio.spectrum(samples))))  # blocks do not matter
-    frame = (samples[256:512].astype(float) - 128) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256))
+    frame = (samples[audio.HOP : audio.HOP + 256].astype(float) - 128) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256))
     direct = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(256) / 256))) for k in (0, 5, 128)]
     assert np.allclose(whole[1][[0, 5, 128]], direct, rtol=1e-3)
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(2560) / 256)).astype(np.uint8)
@@ -636,6 +636,61 @@ def test_fingerprint_pairs_by_hand():
     assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want and want
 
 
+def plain_wav(payload, rate=8000):
+    """The bytes of the file by the format's layout."""
+    import struct
+
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(payload))
+    return head + payload
+
+
+def plain_peaks(samples):
+    """Bands' peaks by the definition of the transform, a frame at a time."""
+    frame, hop, edges = 256, 128, (1, 6, 12, 24, 48, 96, 129)
+    n = max(1, math.ceil((len(samples) - frame) / hop) + 1)
+    window = np.array([0.5 - 0.5 * math.cos(2 * math.pi * i / frame) for i in range(frame)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(frame)) / frame)
+    sizes = np.zeros((n, 6))
+    tops = np.zeros((n, 6), int)
+    for k in range(n):
+        part = np.full(frame, 128.0)
+        held = samples[k * hop : k * hop + frame]
+        part[: len(held)] = held
+        size = abs(turn @ ((part - 128) * window))
+        for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            tops[k, b] = x + size[x:y].argmax()
+            sizes[k, b] = round(size[x:y].max() * 16)
+    out = np.zeros((n, 6), int)
+    for k in range(n):
+        for b in range(6):
+            before, after = sizes[k - 1, b] if k else 0, sizes[k + 1, b] if k + 1 < n else 0
+            if sizes[k, b] > 0 and sizes[k, b] > before and sizes[k, b] >= after:
+                out[k, b] = tops[k, b]
+    return out
+
+
+def test_media_against_plain_versions():
+    rng = np.random.default_rng(7)
+    same = total = 0
+    for n in (64, 320, 1000, 5000):
+        samples = rng.integers(32, 123, n).astype(np.uint8)
+        assert audio.to_wav(samples.tobytes()) == plain_wav(samples.tobytes())
+        got, want = audio.peaks(samples), plain_peaks(samples)
+        assert got.shape == want.shape
+        same, total = same + int((got == want).sum()), total + got.size
+    assert same >= 0.99 * total  # single precision may round a size the other way
+
+
+def test_every_byte_is_in_a_spectrum():
+    rng = np.random.default_rng(3)
+    samples = rng.integers(32, 123, 2048).astype(np.uint8)
+    before = np.concatenate(list(audio.spectrum(samples)))
+    for at in range(1, 2048, 50):
+        other = samples.copy()
+        other[at] ^= 0x55
+        assert abs(np.concatenate(list(audio.spectrum(other))) - before).max() > 1 or at < 8
+
+
 def test_media_query(docs, given, empty):
     got = audio.digests(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in given)
@@ -673,6 +728,34 @@ def test_language_model(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id in (2000, 2001, 2002)").count() == 0 and kept.filter("doc_id < 2000").count() == 900
 
 
+def plain_grams(text):
+    """Two to four letters, lower case, a space for anything between and around."""
+    clean = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+    return [] if not clean.strip() else [clean[i : i + n] for n in (2, 3, 4) for i in range(len(clean) - n + 1)]
+
+
+def test_language_against_plain_counts(spark):
+    """The n-grams of each language by plain counts, and their share in each text."""
+    rng = random.Random(3)
+    letters = {"aa": "abcdeéo", "bb": "bcdfgho", "cc": "xyzoabñ"}
+    vocab = {l: ["".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(60)] for l, a in letters.items()}
+    rows = [(i, " ".join(rng.choice(vocab[l]) for _ in range(rng.randint(3, 60))), l) for i, l in enumerate(["aa", "bb", "cc", "cc"] * 30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {l: Counter(g for _, t, m in rows if m == l for g in plain_grams(t)) for l in letters}
+    rate = {l: {g: n / sum(c.values()) for g, n in c.items()} for l, c in counts.items()}
+    sets = {l: {g for g, n in c.items() if n >= 3 and rate[l][g] * 6 >= max(r.get(g, 0) for r in rate.values())} for l, c in counts.items()}
+    texts = [t for _, t, _ in rows[:40]] + [" ".join(rng.choice(vocab[rng.choice("aa bb cc".split())]) for _ in range(20)) for _ in range(40)] + ["1 2", "", None, "ñ", "A b-C"]
+    for t in texts:
+        grams = plain_grams(t)
+        got = model.predict(t)
+        if not grams:
+            assert got == ("und", 0.0)
+            continue
+        share = {l: sum(g in s for g in grams) / len(grams) for l, s in sets.items()}
+        assert got[1] == pytest.approx(max(share.values()), abs=0.01)
+        assert share[got[0]] == pytest.approx(max(share.values()), abs=0.01)
+
+
 def test_bit_slices():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1000, 20_000, 10)] * 30  # over 64 languages
