@@ -2,19 +2,20 @@
 
 Distinct pieces are put into matrices of token ids, padded within buckets of similar length. In each round
 every row merges its leftmost pair of least rank; only the two pairs beside the merge are looked up anew, in
-a hash table of all pairs, and rows without a pair leave the matrix. Pieces of over 512 bytes take the same
-merges from a heap, as rounds over them would take time in the square of their length.
+a hash table of all pairs, and rows without a pair leave the matrix. A piece of over LONG bytes is a matrix by
+itself, with its parts as rows, so that a round costs the root of its length and not its length.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,10 @@ class ByteBPE:
 
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        size = max(self.tokens, default=-1) + 1
+        self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
@@ -137,36 +142,62 @@ class ByteBPE:
         return out
 
     def merge_long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece, in n log n."""
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1) if (r := self.ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            both = parts[i] + parts[after[i]]
-            if (r := self.ranks.get(both)) is not None:
-                heapq.heappush(heap, (r, i, both))
-
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-                offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([self.ranks[p] for p in parts if p is not None], np.int32).tobytes()
+        """The same for one long piece, as a matrix whose rows are its parts: the leftmost least rank of each row is
+        kept, a round looks through those and one row, and the matrix is compacted when half its ids are gone."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        width = max(16, math.isqrt(len(ids)))
+        while True:
+            n = len(ids)
+            rows = -(-n // width)
+            ranks = np.full(rows * width, NONE)
+            ranks[: n - 1] = self.pairs(ids[:-1], ids[1:])
+            grid = ranks.reshape(rows, width)
+            least = grid.min(1)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            own, gone = ids.tolist(), 0
+            while 2 * gone <= n:
+                row = int(least.argmin())
+                if (best := least[row]) == NONE:
+                    break
+                i = row * width + int(grid[row].argmin())
+                j, gone = after[i], gone + 1
+                own[i], own[j], k = int(best), -1, after[j]
+                after[i] = k
+                ranks[j] = NONE
+                ranks[i] = self.rank(own[i], own[k]) if k < n else NONE
+                touched = {row, j // width}
+                if k < n:
+                    before[k] = i
+                if (h := before[i]) >= 0:
+                    ranks[h] = self.rank(own[h], own[i])
+                    touched.add(h // width)
+                for r in touched:
+                    least[r] = grid[r].min()
+            ids = np.array([x for x in own if x >= 0], np.int32)
+            if 2 * gone <= n:
+                return ids.tobytes()
+
+    def rank(self, left: int, right: int) -> int:
+        return self.ranks.get(self.tokens[left] + self.tokens[right], NONE)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.chunks.encode(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.decode_all(ids)[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where those of each id begin, and the end."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes) and self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes[ids])])
+        out = np.empty(at[-1], np.uint8)
+        for k in range(0, len(ids), block):
+            part = ids[k : k + block]
+            low = at[k : k + len(part)]
+            high = at[k + len(part)]
+            out[low[0] : high] = self.pool[np.repeat(self.starts[part] - (low - low[0]), self.sizes[part]) + np.arange(high - low[0])]
+        return out, at
 
 
 def _pattern() -> str:
@@ -200,23 +231,32 @@ def bpe_encode(docs: DataFrame, ranks: str | None = None, doc_id: str = "doc_id"
     return read.mapInArrow(lambda batches: encode_batches(batches, load(path).chunks), f"doc_id {kind}, ids array<int>")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], decode) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids) with decoded, the bytes of the ids."""
+def _decoded(batches: Iterator[pa.RecordBatch], coder: ByteBPE) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) with decoded, the bytes of the ids; parts of about 250,000 ids, one row at least."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
+        all_ids = batch.column("ids")
+        ends = all_ids.offsets.to_numpy()[1:].astype(np.int64) - all_ids.offsets[0].as_py()
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + 250_000, "right")))
+            part = batch.slice(start, stop - start)
             ids = part.column("ids")
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            null = ids.is_null().to_pylist()
-            found = [None if null[i] else decode(values[offsets[i] : offsets[i + 1]]) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
+            offsets = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            data, at = coder.decode_all(flat)
+            where = at[offsets - offsets[0]]
+            found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(where.tobytes()), pa.py_buffer(data)])
+            found = pc.if_else(ids.is_valid(), found, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, found], ["doc_id", "ids", "decoded"])
+            start = stop
 
 
 def bpe_decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """Return the columns of `encoded` (doc_id, ids) and decoded, the bytes of the ids; null ids give null."""
     path = ranks or default_ranks()
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, load(path).decode), f"doc_id {kind}, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, load(path)), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def bpe_round_trip(docs: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +266,7 @@ def bpe_round_trip(docs: DataFrame, ranks: str | None = None, doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        return _decoded(encode_batches(batches, coder.chunks), coder.decode)
+        return _decoded(encode_batches(batches, coder.chunks), coder)
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return read.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

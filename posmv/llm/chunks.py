@@ -1,13 +1,14 @@
 """Whole-text tokenization by way of distinct chunks.
 
 Texts are cut only where the pre-tokenization pattern must begin a piece, so the ids of a text are the ids of its
-chunks in order. Words repeat, so each worker keeps the ids of the chunks it has met, in arrays under two 64-bit
-hashes (about 40 bytes a chunk, against some 200 in a dict), and encodes the distinct new ones of a slice of rows
-together. Cutting, hashing, lookup and the joining of ids run over all chunks of a slice at once.
+chunks in order. Words repeat, so each worker keeps the ids of the chunks it has met, in arrays under a 64-bit hash (about
+60 bytes a chunk, against some 200 in a dict), and encodes the distinct new ones of a slice of rows together. Where
+hashes are equal the bytes are compared. Hashing, lookup and the joining of ids run over all chunks of a slice at once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from posmv.llm.common import slices
 SLICE, KEPT = 1_000_000, 1_000_000
 
 _NONE = np.int32(-1)
-_BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 _bytes = np.arange(256)
 #: Bytes that no white-space character begins with; ASCII letters, marks and all visible ASCII.
 _SOLID = ((_bytes > 0x20) & (_bytes < 0x7F)) | ((_bytes > 0xC2) & ~np.isin(_bytes, (0xE1, 0xE2, 0xE3)))
@@ -29,6 +30,15 @@ _MARK = _SEEN & ~_LETTER & ~((_bytes >= 48) & (_bytes <= 57))
 
 
 def cuts(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """_cuts, a block at a time with the bytes around it."""
+    out = np.empty(len(data), bool)
+    for k in range(0, len(data), SLICE):
+        low, high = max(0, k - 2), min(len(data), k + SLICE + 1)
+        out[k : k + SLICE] = _cuts(data[low:high], last[(last >= low) & (last < high)] - low)[k - low : k - low + SLICE]
+    return out
+
+
+def _cuts(data: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Where a chunk may begin: at a space before a visible character, where a mark follows a letter, and around a
     single newline between visible characters. last: the last byte of each text, whose successor is another's.
 
@@ -48,44 +58,78 @@ def cuts(data: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out[:-1]
 
 
-class Hashes:
-    """Two hashes of each span of bytes."""
+def _grown(held: np.ndarray, least: int) -> np.ndarray:
+    return held if least <= len(held) else np.concatenate([held, np.zeros(max(least, 2 * len(held)) - len(held), held.dtype)])
 
-    def __init__(self):
-        rng = np.random.default_rng(7)
-        self.values = [rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1) for _ in _BASES]
-        self.powers = [np.ones(1, np.uint64) for _ in _BASES]
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of spans that follow each other without gaps; about SLICE bytes are worked on at a time."""
-        if (most := int(sizes.max())) > len(self.powers[0]):
-            self.powers = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * most, b)])) for b in _BASES]
-        out = [np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)]
-        edges = np.unique(np.append(np.searchsorted(starts, np.arange(starts[0], starts[-1] + 1, SLICE)), len(starts)))
-        for a, b in zip(edges, edges[1:]):
-            base, size = starts[a], sizes[a:b]
-            at = starts[a:b] - base
-            part = data[base : base + at[-1] + size[-1]]
-            place = np.arange(len(part)) - np.repeat(at, size)
-            for to, value, power in zip(out, self.values, self.powers, strict=True):
-                h = np.add.reduceat(value[part] * power[place], at) + size.astype(np.uint64)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                to[a:b] = h ^ (h >> np.uint64(29))
-        return out[0], out[1]
+_KEEP = np.array([2**64 - 1] + [2 ** (8 * n) - 1 for n in range(1, 8)], np.uint64)
+
+
+class Spans:
+    """Spans of bytes as words of eight, the last one filled up with zeros, and a hash of each span."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        low, high = int(starts[0]), int(starts[-1] + sizes[-1])
+        self.starts, self.sizes = starts - low, sizes
+        self.data = np.zeros(high - low + 8, np.uint8)
+        self.data[: high - low] = data[low:high]
+        self.at = np.ndarray(high - low + 1, np.uint64, self.data, strides=(1,))
+        self.hash = sizes.astype(np.uint64) * _MULT
+        todo, k = np.arange(len(starts)), 0
+        while len(todo):
+            h = (self.hash[todo] ^ self.word(todo, k)) * _MULT
+            self.hash[todo] = h ^ (h >> np.uint64(29))
+            k += 1
+            todo = todo[sizes[todo] > 8 * k]
+        self.hash *= _MULT
+
+    def word(self, which: np.ndarray, k: int) -> np.ndarray:
+        """Number k of each of these spans, all of which have more than 8 k bytes."""
+        left = self.sizes[which] - 8 * k
+        return self.at[self.starts[which] + 8 * k] & _KEEP[np.where(left < 8, left, 0)]
+
+    def words(self, which: np.ndarray) -> np.ndarray:
+        """All words of these spans, one span after the other."""
+        many = -(-self.sizes[which] // 8)
+        ends = np.cumsum(many)
+        out, todo, k = np.empty(ends[-1], np.uint64), np.arange(len(which)), 0
+        while len(todo):
+            out[(ends - many)[todo] + k] = self.word(which[todo], k)
+            k += 1
+            todo = todo[many[todo] > k]
+        return out
+
+    def equal(self, which: np.ndarray, words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether these spans have as many bytes as sizes and the words that begin at `at`."""
+        same = self.sizes[which] == sizes
+        todo, k = np.flatnonzero(same), 0
+        while len(todo):
+            ok = words[at[todo] + k] == self.word(which[todo], k)
+            same[todo[~ok]] = False
+            k += 1
+            todo = todo[ok & (sizes[todo] > 8 * k)]
+        return same
 
 
 class ChunkEncoder:
-    """encode_many gives the ids of each string, as bytes of int32."""
+    """encode_many gives the ids of each string, as bytes of int32.
+
+    apart: byte strings that the vocabulary takes out of a text before its pattern is applied. Each is a chunk of its
+    own, the leftmost and longest first.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT):
-        self.encode_many, self.kept, self.hash = encode_many, kept, Hashes()
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT, apart: list[bytes] = ()):
+        self.encode_many, self.kept = encode_many, kept
+        self.apart = re.compile(b"|".join(map(re.escape, sorted(apart, key=len, reverse=True)))) if apart else None
         self._clear()
 
     def _clear(self, room: int = 1 << 16) -> None:
         self.count = 0
-        self.first, self.second = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
+        self.hash = np.zeros(room, np.uint64)
         self.start, self.size = np.zeros(room, np.int64), np.zeros(room, np.int32)
-        self.pool, self.used = np.zeros(1 << 18, np.int32), 0
+        self.at, self.length = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.ids, self.ids_used = np.zeros(1 << 18, np.int32), 0
+        self.words, self.words_used = np.zeros(1 << 17, np.uint64), 0
         self._index(room * 2)
 
     def _index(self, places: int) -> None:
@@ -95,7 +139,7 @@ class ChunkEncoder:
         self._place(np.arange(self.count))
 
     def _place(self, todo: np.ndarray) -> None:
-        at = self.first[todo] >> self.shift
+        at = self.hash[todo] >> self.shift
         while len(todo):
             free = np.flatnonzero(self.slots[at] == _NONE)
             # of those that want one slot the last one written has it
@@ -103,40 +147,58 @@ class ChunkEncoder:
             rest = self.slots[at] != todo
             todo, at = todo[rest], (at[rest] + np.uint64(1)) & self.mask
 
-    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        found = np.full(len(first), _NONE)
-        at, todo = first >> self.shift, np.arange(len(first))
+    def _find(self, spans: "Spans", asked: np.ndarray) -> np.ndarray:
+        """The kept chunk with the same bytes as each of the spans asked for, or _NONE."""
+        found = np.full(len(asked), _NONE)
+        at, todo = spans.hash[asked] >> self.shift, np.arange(len(asked))
         while len(todo):
             held = self.slots[at]
             some = held != _NONE
             todo, at, held = todo[some], at[some], held[some]
-            hit = (self.first[held] == first[todo]) & (self.second[held] == second[todo])
+            hit = self.hash[held] == spans.hash[asked[todo]]
+            hit[hit] = spans.equal(asked[todo[hit]], self.words, self.at[held[hit]], self.length[held[hit]])
             found[todo[hit]] = held[hit]
             todo, at = todo[~hit], (at[~hit] + np.uint64(1)) & self.mask
         return found
 
-    def _add(self, first: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
+    def _add(self, spans: "Spans", new: np.ndarray, ids: list[bytes]) -> None:
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        n, total = self.count + len(ids), self.used + len(flat)
-        if n > len(self.first):
-            room = max(n, 2 * len(self.first))
-            for name in ("first", "second", "start", "size"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros(room - len(old), old.dtype)]))
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(total, 2 * len(self.pool)) - len(self.pool), np.int32)])
-        new = slice(self.count, n)
-        self.first[new], self.second[new], self.size[new] = first, second, sizes
-        self.start[new] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : total] = flat
+        flat, words = np.frombuffer(b"".join(ids), np.int32), spans.words(new)
+        many = -(-spans.sizes[new] // 8)
+        n = self.count + len(ids)
+        if n > len(self.hash):
+            for name in ("hash", "start", "size", "at", "length"):
+                setattr(self, name, _grown(getattr(self, name), n))
+        self.ids, self.words = _grown(self.ids, self.ids_used + len(flat)), _grown(self.words, self.words_used + len(words))
+        to = slice(self.count, n)
+        self.hash[to], self.size[to], self.length[to] = spans.hash[new], sizes, spans.sizes[new]
+        self.start[to] = self.ids_used + np.cumsum(sizes) - sizes
+        self.at[to] = self.words_used + np.cumsum(many) - many
+        self.ids[self.ids_used : self.ids_used + len(flat)] = flat
+        self.words[self.words_used : self.words_used + len(words)] = words
         added = np.arange(self.count, n)
-        self.count, self.used = n, total
+        self.count, self.ids_used, self.words_used = n, self.ids_used + len(flat), self.words_used + len(words)
         if 2 * n > len(self.slots):
             self._index(1 << (4 * n).bit_length())
         else:
             self._place(added)
 
+    def _kept(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The kept chunk of each span of data; new ones are encoded first."""
+        spans = Spans(data, starts, sizes)
+        found = self._find(spans, np.arange(len(starts)))
+        if (new := np.flatnonzero(found == _NONE)).size and self.count > self.kept:
+            self._clear()
+            new = np.arange(len(found))
+        while new.size:
+            # one of each hash; what has the same hash and other bytes is still missing afterwards
+            one = new[np.unique(spans.hash[new], return_index=True)[1]]
+            raw = [data[s : s + n].tobytes().decode() for s, n in zip(starts[one].tolist(), sizes[one].tolist(), strict=True)]
+            self._add(spans, one, self.encode_many(raw))
+            found[new] = self._find(spans, new)
+            new = new[found[new] == _NONE]
+        return found
+
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: texts as bytes of UTF-8 one after the other; offsets: where each begins, and the end. Returns all
         ids and where each text's begin."""
@@ -145,29 +207,23 @@ class ChunkEncoder:
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
         begin = cuts(data, bounds[1:] - 1)
         begin[bounds[:-1]] = True
+        if self.apart:
+            for low, high in zip(bounds.tolist(), bounds[1:].tolist()):
+                for m in self.apart.finditer(data, low, high):
+                    begin[m.start() : m.end()] = False
+                    begin[m.start()] = True
+                    if m.end() < len(data):
+                        begin[m.end()] = True
         starts = np.flatnonzero(begin)
         sizes = np.diff(np.append(starts, len(data)))
-        first, second = self.hash(data, starts, sizes)
-        found = self._find(first, second)
-        if (new := np.flatnonzero(found == _NONE)).size:
-            if self.count > self.kept:
-                self._clear()
-                new = np.arange(len(found))
-            _, at = np.unique(first[new], return_index=True)
-            one = new[at]
-            raw = data.tobytes()
-            ids = self.encode_many([raw[s : s + n].decode() for s, n in zip(starts[one].tolist(), sizes[one].tolist(), strict=True)])
-            self._add(first[one], second[one], ids)
-            found[new] = self._find(first[new], second[new])
-            # two new chunks with one first hash: the other is still to come
-            while (left := np.flatnonzero(found == _NONE)).size:
-                i = left[:1]
-                self._add(first[i], second[i], self.encode_many([raw[starts[i[0]] : starts[i[0]] + sizes[i[0]]].decode()]))
-                found[left] = self._find(first[left], second[left])
-        many = self.size[found].astype(np.int64)
-        ends = np.cumsum(many)
-        ids = self.pool[np.repeat(self.start[found] - (ends - many), many) + np.arange(ends[-1])]
-        return ids, np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(starts, offsets)]
+        out, many = [], np.empty(len(starts), np.int64)
+        edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), SLICE)), len(starts)))
+        for a, b in zip(edges, edges[1:]):
+            found = self._kept(data, starts[a:b], sizes[a:b])
+            n = many[a:b] = self.size[found]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(self.start[found] - (ends - n), n) + np.arange(ends[-1])])
+        return np.concatenate(out), np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty text."""
