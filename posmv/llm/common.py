@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,14 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the driver and all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset (tests, one machine), a
-    temporary folder of this process takes its place.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset and Spark runs on one machine (tests), a
+    temporary folder of this process takes its place; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/posmv/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,10 +38,15 @@ def _own_folder() -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it cuts the lineage, and lost executors
     cost no recomputation of what is below."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """materialize, and the path of the table, for discard; in folders by the columns `by`."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     delete_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
@@ -45,6 +55,16 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that are no longer read, and let Spark drop the shuffle files that nothing refers to any more: its cleaner
+    waits for the driver's garbage collector."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def id_text_crc(doc_id: str) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

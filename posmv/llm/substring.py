@@ -5,32 +5,36 @@ windows have equal fingerprints and successive windows mostly share one: an occu
 the run of windows that share it, about one for every 22 words instead of one for each word. An occurrence
 also has a digest of all words that its windows cover.
 
-The index is a log of immutable runs in the shared folder, each sorted by fingerprint: (fp, digest) with the
-first document that has it. A batch of documents, all with larger ids than the batches before, is merge-joined
-with the runs; what matches by fingerprint is verified by the digest of the words, and all windows of such an
-occurrence are covered at once. The rest of the batch becomes a new run, and when there are more than
-`max_runs` they are compacted into one.
+The index is a log of immutable runs in the shared folder: (fp, digest) with the first document that has it, in buckets
+by hash, each sorted. A batch of documents, all with larger ids than the batches before, is dealt to the same buckets
+once and merge-joined with each run as it lies there; no run is shuffled again. What matches by fingerprint is
+verified by the digest of the words, and all windows of such an occurrence are covered at once. What is new in the batch
+is the next run, and when there are more than `max_runs` they are compacted into one. A manifest lists the runs, so a later
+job can open the index and add its own batch.
 
 Occurrences of one fingerprint with different digests may still share some windows (at the ends of a repeated
 passage). Only there, and only for the first document of each digest, windows are compared one by one, by
-a digest of each window, at every place where that document has the occurrence. Copies collapse to one row for each digest before they are shuffled, so a
-passage that a third of the documents share costs its task one row for each input task.
+a digest of each window, at every place where that document has the occurrence.
+
+Copies collapse to one row for each digest and input task before they are shuffled. Where they are joined with their entry again,
+those of a digest with more than HOT places go to the entries by broadcast, so that no task gets them all.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posmv.llm.chunks import Hashes
-from posmv.llm.common import materialize, slices
+from posmv.llm.chunks import Spans
+from posmv.llm.common import delete_at_end, discard, materialize, scratch, slices, stored
 
 WINDOW, GRAM = 50, 8
 _Q = 0xD1B54A32D192ED03
@@ -61,9 +65,6 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-_hash = Hashes()
-
-
 class Words:
     """The words of a text, joined by one space, with their places."""
 
@@ -82,7 +83,7 @@ class Words:
 
 def word_hashes(words: Words) -> np.ndarray:
     """Of each word; there must be one."""
-    return _hash(np.frombuffer(words.joined + b" ", np.uint8), words.starts, words.ends + 1 - words.starts)[0]
+    return mix(Spans(np.frombuffer(words.joined, np.uint8), words.starts, words.ends - words.starts).hash)
 
 
 def occurrences(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +106,24 @@ def occurrences(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     return hashes[least[first]], first, np.diff(np.append(first, len(least)))
 
 
+#: Places from which on a digest's rows are not sent to one task; more if that lets over 2**16 digests through.
+HOT = 4096
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """o: doc_id, or the largest number for null; x: a hash of the text, to tell rows that repeat an id apart."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x"))
+    """o: doc_id, or the largest number for null; x: a hash of the text, to tell rows that repeat an id apart. Ids that
+    are no whole numbers are replaced by their rank."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long"):
+        ranked = rows.withColumn("o", F.col("doc_id").cast("long"))
+    else:
+        sorted_ = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        places = materialize(sorted_.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "substring-ids")
+        # one row a partition
+        before = places.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+        ranks = places.join(before, "part").select("doc_id", (F.col("before") + F.col("nth")).alias("o"))
+        ranked = rows.join(ranks, "doc_id", "left")
+    return ranked.select("doc_id", "text", F.coalesce("o", F.lit(_LAST)).alias("o"), F.xxhash64("text").alias("x"))
 
 
 def find_occurrences(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -131,45 +147,112 @@ def find_occurrences(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fp, digest, first (o, x, a), n in the shared folder."""
+    """Runs of entries fp, digest, o, x, a, n (the first place of each), all places of which are in the shared folder.
 
-    def __init__(self, max_runs: int = 3):
-        self.max_runs, self.runs = max_runs, []
+    path: an index that another one wrote to `path`, or the place for a new one.
+    """
+
+    _COLUMNS = "fp bigint, digest bigint, o bigint, x bigint, a int, n int, last bigint, times bigint, owner bigint"
+
+    def __init__(self, spark: SparkSession, max_runs: int = 3, path: str | None = None):
+        self.spark, self.max_runs, self.path = spark, max_runs, path or scratch(spark, "substring-index")
         #: fp, o, x, a, n of the further places where the first document of a digest has it, of each batch.
-        self.again = []
+        self.again: list[DataFrame] = []
+        self.runs: list[tuple[str, str, int]] = []
+        self.compactions = 0
+        self.version = 0
+        if path is None:
+            delete_at_end(spark, self._made(self.path))
+        else:
+            self._open()
+
+    def _made(self, path: str) -> str:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)
+        return path
+
+    def _open(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self._made(self.path))
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
+        versions = [int(n[9:]) for f in files if (n := f.getPath().getName()).startswith("manifest-")]
+        if versions:
+            self.version = max(versions)
+            for r in self.spark.read.schema("run string, buckets int, nth int").json(f"{self.path}/manifest-{self.version}").orderBy("nth").collect():
+                self.runs.append((self._table(r["run"], r["buckets"]), r["run"], r["buckets"]))
+
+    def _publish(self) -> None:
+        """The list of runs under a new number; a job that breaks off before leaves the one before in force."""
+        self.version += 1
+        listed = [(run, buckets, i) for i, (_, run, buckets) in enumerate(self.runs)]
+        self.spark.createDataFrame(listed, "run string, buckets int, nth int").coalesce(1).write.json(f"{self.path}/manifest-{self.version}")
+
+    def _table(self, run: str, buckets: int) -> str:
+        name = f"posmv_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self._COLUMNS}) USING parquet CLUSTERED BY (fp, digest) SORTED BY (fp, digest) INTO {buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return name
+
+    def _written(self, rows: DataFrame) -> tuple[str, str, int]:
+        run, buckets = f"run-{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = self._table(run, buckets)
+        rows.select(*[c.split()[0] for c in self._COLUMNS.split(", ")]).write.insertInto(name)
+        return name, run, buckets
+
+    def _entries(self, name: str) -> DataFrame:
+        """A run's own entries; its table also has the batch's rows that an older run owns."""
+        return self.spark.table(name).filter("owner IS NULL")
 
     def entries(self) -> DataFrame:
         """All entries; each (fp, digest) is in one run only."""
-        return functools.reduce(DataFrame.unionByName, self.runs)
+        return functools.reduce(DataFrame.unionByName, (self._entries(name) for name, *_ in self.runs)).select("fp", "digest", "o", "x", "a", "n")
 
     def add(self, found: DataFrame) -> DataFrame:
         """Add a batch's occurrences and return those that are covered: o, x, a, n. All o of a batch are larger
         than those of earlier batches."""
         new = found.groupBy("fp", "digest").agg(F.min(F.struct("o", "x", "a", "n")).alias("first"), F.max("o").alias("last"), F.count("*").alias("times"))
-        if self.runs:
-            held = self.entries().select("fp", "digest", F.col("first.o").alias("owner"))
-            new = new.join(held, ["fp", "digest"], "left")
-        else:
-            new = new.withColumn("owner", F.lit(None).cast("long"))
-        new = materialize(new, "substring-batch")
-        self._write(new.filter("owner IS NULL").select("fp", "digest", "first"))
-        shared = new.select("fp", "digest", F.coalesce("owner", "first.o").alias("owner"), F.col("first.x").alias("fx"), F.col("first.a").alias("fa"), "last", "times").filter("owner < last OR times > 1")
+        owner = F.lit(None).cast("long")
+        for i, (name, *_) in enumerate(self.runs):
+            new = new.join(self._entries(name).select("fp", "digest", F.col("o").alias(f"owner{i}")), ["fp", "digest"], "left")
+            owner = F.coalesce(owner, F.col(f"owner{i}"))
+        run = self._written(new.select("fp", "digest", "first.*", "last", "times", owner.alias("owner")))
+        self.runs.append(run)
+
+        entries = self.spark.table(run[0])
+        shared = entries.select("fp", "digest", F.coalesce("owner", "o").alias("owner"), F.col("x").alias("fx"), F.col("a").alias("fa"), "last", "times").filter("owner < last OR times > 1")
+        bound = max(HOT, (entries.agg(F.sum("times")).first()[0] or 0) >> 16)
+        often = [r.digest for r in shared.filter(F.col("times") > bound).select("digest").distinct().collect()]  # at most 2**16
+        hot = F.col("digest").isin(often)
+        parts = [found.join(shared, ["fp", "digest"])] if not often else [
+            found.filter(~hot).join(shared.filter(~hot), ["fp", "digest"]), found.filter(hot).join(F.broadcast(shared.filter(hot)), ["fp", "digest"])]
         # What is not covered is the owner's own: its first place is in the entry.
-        matched = found.join(shared, ["fp", "digest"]).filter("o > owner OR x != fx OR a != fa")
-        matched = materialize(matched.select(F.expr("if(o = owner, fp, null)").alias("own"), "o", "x", "a", "n"), "substring-covered")
+        placed = [x.filter("o > owner OR x != fx OR a != fa").select(F.expr("if(o = owner, fp, null)").alias("own"), "o", "x", "a", "n") for x in parts]
+        matched = materialize(functools.reduce(DataFrame.unionByName, placed), "substring-covered")
         self.again.append(matched.filter("own IS NOT NULL").select(F.col("own").alias("fp"), "o", "x", "a", "n"))
+        if len(self.runs) > self.max_runs:
+            self._compact()
+        self._publish()
         return matched.filter("own IS NULL").select("o", "x", "a", "n")
 
-    def _write(self, entries: DataFrame) -> None:
-        if len(self.runs) >= self.max_runs:
-            entries, self.runs = entries.unionByName(self.entries()), []
-        self.runs.append(materialize(entries.repartitionByRange("fp").sortWithinPartitions("fp", "digest"), "substring-run"))
+    def _compact(self) -> None:
+        none = F.lit(None).cast("long")
+        old, buckets = self.runs, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        merged = self.entries().repartition(buckets, "fp", "digest")
+        self.runs = [self._written(merged.select("*", none.alias("last"), none.alias("times"), none.alias("owner")))]
+        self.compactions += 1
+        self._publish()
+        for name, *_ in old:
+            self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, *(f"{self.path}/{run}" for _, run, _ in old))
+
+    def close(self) -> None:
+        """Take the runs' tables out of the session; the index stays where it is."""
+        for name, *_ in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
 
 
 def shared_windows(entries: DataFrame, again: DataFrame, keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of the first documents of each digest, the windows that also start in a smaller one: o, x, a, n = 1."""
-    several = entries.groupBy("fp").agg(F.min("first.o").alias("lo"), F.max("first.o").alias("hi")).filter("lo < hi").select("fp")
-    places = entries.select("fp", "first.o", "first.x", "first.a", "first.n").unionByName(again)
+    several = entries.groupBy("fp").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo < hi").select("fp")
+    places = entries.select("fp", "o", "x", "a", "n").unionByName(again)
     asked = places.join(several, "fp").select("o", "x", F.struct("fp", "a", "n").alias("at"))
     lists = asked.groupBy("o", "x").agg(F.collect_set("at").alias("at"))
 
@@ -188,31 +271,35 @@ def shared_windows(entries: DataFrame, again: DataFrame, keyed: DataFrame, windo
     texts = keyed.select("o", "x", "text")
     windows = texts.join(lists, ["o", "x"]).select("o", "x", "text", "at").mapInArrow(run, "o long, x long, fp long, digest long, a int")
     windows = materialize(windows, "substring-windows")
+    discard(keyed.sparkSession)
     twice = windows.groupBy("fp", "digest").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo < hi")
     return windows.join(twice, ["fp", "digest"]).filter("o > lo").select("o", "x", "a", F.lit(1).alias("n"))
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, max_runs: int = 2) -> DataFrame:
     """Return doc_id, n_words, n_removed and kept_text (words joined by one space) of every row.
 
     A word is removed if a window of its document covers it that also starts in a document with a smaller
-    doc_id. Null text has no words. A null doc_id comes after all others; rows that repeat a doc_id are not
-    smaller than each other. An empty table gives no rows; other columns are not read.
+    doc_id; ids may be of any type that has an order. Null text has no words. A null doc_id comes after all others, as
+    does the largest long; rows that repeat a doc_id are not smaller than each other. An empty table gives no rows;
+    other columns are not read. The documents are added to a new index in `batches` by id.
     """
+    spark = docs.sparkSession
     keyed = _keyed(docs, doc_id, text)
-    cuts = keyed.agg(F.percentile_approx("o", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    index = FingerprintIndex()
+    cuts = sorted(set(keyed.agg(F.percentile_approx("o", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
+    number = functools.reduce(lambda c, cut: c + (F.col("o") > cut).cast("int"), cuts, F.lit(0))
+    found, place = stored(find_occurrences(keyed, window).withColumn("batch", number), "substring-occurrences", "batch")
+    index = FingerprintIndex(spark, max_runs)
     covered = []
-    for low, high in zip(bounds, bounds[1:]):
-        part = keyed
-        if low is not None:
-            part = part.filter(F.col("o") > low)
-        if high is not None:
-            part = part.filter(F.col("o") <= high)
-        covered.append(index.add(materialize(find_occurrences(part, window), "substring-occurrences")))
-    spans = functools.reduce(DataFrame.unionByName, covered).unionByName(shared_windows(index.entries(), functools.reduce(DataFrame.unionByName, index.again), keyed, window))
-    lists = spans.groupBy("o", "x").agg(F.collect_list(F.struct("a", "n")).alias("at"))
+    for i in range(len(cuts) + 1):
+        covered.append(index.add(found.filter(F.col("batch") == i).drop("batch")))
+        discard(spark, f"{place}/batch={i}")
+    again = functools.reduce(DataFrame.unionByName, index.again)
+    spans_ = functools.reduce(DataFrame.unionByName, covered).unionByName(shared_windows(index.entries(), again, keyed, window))
+    spans_ = materialize(spans_, "substring-spans")
+    index.close()
+    discard(spark, index.path)
+    lists = spans_.groupBy("o", "x").agg(F.collect_list(F.struct("a", "n")).alias("at"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(rows, "text"):
@@ -231,7 +318,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     joined = keyed.join(lists, ["o", "x"], "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
