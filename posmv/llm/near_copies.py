@@ -34,6 +34,8 @@ from posmv.llm.substring import mix
 BANDS, ROWS, RADIUS, BLOCK = 16, 4, 20, 2048
 #: Members of a shard that an asker is checked against at a time.
 NEAREST = 32
+#: Rows whose numbers are broadcast at most (8 bytes each).
+LISTED = 1 << 20
 
 
 _bytes = np.arange(256)
@@ -228,6 +230,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """rows (one long each), to be joined with whole texts: by broadcast if there are LISTED at most, so that the texts are
+    not shuffled for a few of them."""
+    held = materialize(rows, "near-listed")
+    return F.broadcast(held) if held.count() <= LISTED else held
+
+
 def near_copy_labels(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """rows: row (long, without repeats) and text. Return node and root for every row with a link: the least row of
     its component."""
@@ -240,13 +249,13 @@ def near_copy_labels(rows: DataFrame, words: int = 5, similarity: float = 0.8) -
     alike = F.least("size", "lead.size") / F.greatest("size", "lead.size") >= similarity
     star = materialize(shared.filter((F.col("row") != F.col("lead.row")) & near & alike).select(F.col("lead.row").alias("a"), F.col("row").alias("b")).distinct(), "near-star")
     asked = star.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    links = materialize(_checked(star, materialize(_sets(rows.select("row", "text").join(asked, "row", "left_semi"), words), "near-sets"), similarity), "near-links")
+    links = materialize(_checked(star, materialize(_sets(rows.select("row", "text").join(_listed(asked), "row", "left_semi"), words), "near-sets"), similarity), "near-links")
     labels = components(links)
 
     of = shared.select("key", "row", "fp", "size").join(labels, F.col("row") == F.col("node"), "left").withColumn("of", F.coalesce("root", "row")).drop("node", "root")
     leads = shared.select("key", F.col("lead.row").alias("lead")).distinct().join(labels, F.col("lead") == F.col("node"), "left").select("key", F.coalesce("root", "lead").alias("first"))
     involved = materialize(_involved(_dealt(of.join(leads, "key")), similarity), "near-involved")
-    sets = materialize(_sets(rows.select("row", "text").join(involved.select("row").distinct(), "row", "left_semi"), words), "near-sets")
+    sets = materialize(_sets(rows.select("row", "text").join(_listed(involved.select("row").distinct()), "row", "left_semi"), words), "near-sets")
     more = materialize(_resolved(involved, sets, similarity), "near-links")
     if more.isEmpty():
         return labels
@@ -270,4 +279,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     tied = rows.select("row", "id").join(labels, F.col("row") == F.col("node"))
     stays = tied.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select("root", F.col("least.row").alias("stay"))
     gone = tied.join(stays, "root").filter("row != stay").select("row")
-    return kept.join(gone, "row", "left_anti").select("d.*")
+    return kept.join(_listed(gone), "row", "left_anti").select("d.*")

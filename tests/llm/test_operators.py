@@ -398,6 +398,12 @@ def test_near_copies(spark, docs, given, empty):
     assert near_copies.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_without_broadcasts(spark, docs, monkeypatch):
+    want = Counter((r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect())
+    monkeypatch.setattr(near_copies, "LISTED", 0)
+    assert Counter((r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
 def test_near_copies_keeps_rows_of_null_and_repeated_ids(spark):
     rng = random.Random(2)
     rows = [(i, passage(rng, 30)) for i in (None, None, 1, 1, 2)]
