@@ -24,14 +24,14 @@ END = 0
 
 
 class Library:
-    """The tokenizers library over distinct chunks."""
+    """The tokenizers library over distinct chunks; tokens that the file adds to its vocabulary are chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.chunks = ChunkEncoder(self.encode_many)
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks = ChunkEncoder(self.encode_many, apart=added)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
