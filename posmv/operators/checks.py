@@ -36,15 +36,17 @@ def completeness(by_account: DataFrame, by_ticker: DataFrame) -> DataFrame:
     return both.withColumn("complete", F.col("summed").eqNullSafe(F.col("published")))
 
 
-def order_violations(log: DataFrame, key: str, time: str, arrival: str, value: str | None = None) -> DataFrame:
+def order_violations(log: DataFrame, key: str, time: str, arrival: str | tuple[str, ...], value: str | None = None) -> DataFrame:
     """For each key: records, how often its time (and value) went back from one record to the next, and whether
-    its last record is older than its newest."""
-    w = Window.partitionBy(key).orderBy(arrival)
-    seen = log.select(key, time, arrival, *([value] if value else []), F.lag(time).over(w).alias("before"), *([F.lag(value).over(w).alias("value_before")] if value else []))
+    its last record is older than its newest. arrival: the column or columns that records come in the order of; where they
+    tie, the result is open."""
+    order = [arrival] if isinstance(arrival, str) else list(arrival)
+    w = Window.partitionBy(key).orderBy(*order)
+    seen = log.select(key, time, F.struct(*order).alias("arrived"), *([value] if value else []), F.lag(time).over(w).alias("before"), *([F.lag(value).over(w).alias("value_before")] if value else []))
     sums = [F.count("*").alias("records"), F.count_if(F.col(time) < F.col("before")).alias("time_backwards")]
     if value:
         sums.append(F.count_if(F.col(value) < F.col("value_before")).alias("value_backwards"))
-    return seen.groupBy(key).agg(*sums, (F.max_by(time, arrival) < F.max(time)).alias("ends_stale"))
+    return seen.groupBy(key).agg(*sums, (F.max_by(time, "arrived") < F.max(time)).alias("ends_stale"))
 
 
 def samples(published: DataFrame, expected: DataFrame, keys: list[str], value: str, first: int = 3) -> DataFrame:

@@ -203,6 +203,17 @@ def test_order_checks(spark):
     assert got == {"a": (3, 1, True), "b": (2, 0, False)}
 
 
+def test_records_of_one_arrival_come_in_the_sources_order(spark, tmp_path):
+    from posmv.plans import catalogue
+
+    # ids 104,729 apart have one arrival; the file has them backwards
+    n = 7
+    spark.sql(f"SELECT 104729L * ({n} - id) AS event_id, timestamp_seconds(1700000000 + 60 * ({n} - id)) AS ts, 5L AS user_id, double({n} - id) AS value FROM range({n})").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.order_violations(spark, str(tmp_path)).first()
+    assert (got.symbol, got.records, got.time_backwards, got.value_backwards, got.ends_stale) == ("SYM0005", n, 0, 0, False)
+    assert catalogue.ends_stale(spark, str(tmp_path)).first().ends_stale == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 11, 100])
 def test_percentiles_by_formula(spark, n):
     import math
