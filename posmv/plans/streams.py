@@ -83,16 +83,9 @@ def stateful_mv_final(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(own, "stateful-mv")
     table = KeyedTable(own, path, schemas.MARKET_VALUE, ("account", "ticker"))
 
-    def last(batch: DataFrame, number: int) -> None:
-        # A holder may be emitted many times in a batch: each time with more trades or a newer price.
-        # The row that knows most has the newest state; rank rows within the batch by their order of emission.
-        numbered = batch.withColumn("at", F.monotonically_increasing_id())
-        rest = [c for c in batch.columns if c not in ("account", "ticker")]
-        newest = numbered.groupBy("account", "ticker").agg(F.max_by(F.struct(*rest), "at").alias("v"))
-        table.upsert(newest.select("account", "ticker", *[f"v.{c}" for c in rest]), number)
-
-    values = stateful.market_values(source)
-    finish(values.writeStream.outputMode("update").queryName("stateful-market-values").option("checkpointLocation", path + "-checkpoint").trigger(**NOW).foreachBatch(last).start())
+    # only the last state is asked for: a batch emits each holder once
+    values = stateful.market_values(source, each=False)
+    finish(values.writeStream.outputMode("update").queryName("stateful-market-values").option("checkpointLocation", path + "-checkpoint").trigger(**NOW).foreachBatch(table.upsert).start())
     return table.read()
 
 

@@ -38,10 +38,13 @@ def value_row(ticker: str, account: str, qty: int, as_of: int, tick: tuple) -> R
 
 class MarketValues(StatefulProcessor):
     """Rows of jobs.SOURCE by ticker to market values by account. interval_ms 0: a trade emits its holder, a tick
-    all holders. Otherwise inputs only change the state and arm one timer; it emits all holders once."""
+    all holders; or, if not `each`, a batch emits once what its inputs changed, all holders if the price did. Otherwise
+    inputs only change the state and arm one timer; it emits all holders once.
 
-    def __init__(self, interval_ms: int = 0):
-        self.interval_ms = interval_ms
+    A batch reads and writes the state of a holder once: each access is a message to the JVM and back."""
+
+    def __init__(self, interval_ms: int = 0, each: bool = True):
+        self.interval_ms, self.each = interval_ms, each and interval_ms <= 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,19 +61,40 @@ class MarketValues(StatefulProcessor):
                 yield value_row(ticker, account[0], held[0], held[1], tick)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in _in_order(rows):
+        before = tick = self._tick()
+        held: dict = {}  # of the holders in use, as they are now
+        changed: set = set()
+        whole = False
+
+        def everyone() -> dict:
+            nonlocal whole
+            if not whole:
+                for account, stored in self.holders.iterator():
+                    held.setdefault(account[0], tuple(stored))
+                whole = True
+            return held
+
+        for r in _in_order(rows) if self.each else rows:
             if r.kind == "T":
-                qty, as_of = self.holders.getValue((r.account,)) if self.holders.containsKey((r.account,)) else (0, r.event_time)
-                self.holders.updateValue((r.account,), (qty + r.qty, max(as_of, r.event_time)))
-                if self.interval_ms <= 0 and (tick := self._tick()) is not None:
-                    yield value_row(key[0], r.account, qty + r.qty, max(as_of, r.event_time), tick)
-            else:
-                held = self._tick()
-                tick = newer(held, r.price, r.event_time, r.seq)
-                if tick is not held:
-                    self.price.update(tick)
-                    if self.interval_ms <= 0:
-                        yield from self._all(key[0])
+                if r.account not in held and not whole and self.holders.containsKey((r.account,)):
+                    held[r.account] = tuple(self.holders.getValue((r.account,)))
+                qty, as_of = held.get(r.account, (0, r.event_time))
+                held[r.account] = qty + r.qty, max(as_of, r.event_time)
+                changed.add(r.account)
+                if self.each and tick is not None:
+                    yield value_row(key[0], r.account, *held[r.account], tick)
+            elif (newest := newer(tick, r.price, r.event_time, r.seq)) is not tick:
+                tick = newest
+                if self.each:
+                    for account, (qty, as_of) in everyone().items():
+                        yield value_row(key[0], account, qty, as_of, tick)
+        if self.interval_ms <= 0 and not self.each and tick is not None:
+            for account in everyone() if tick is not before else changed:
+                yield value_row(key[0], account, *held[account], tick)
+        for account in changed:
+            self.holders.updateValue((account,), held[account])
+        if tick is not before:
+            self.price.update(tick)
         if self.interval_ms > 0 and not self.armed.exists():
             at = timerValues.getCurrentProcessingTimeInMs() + self.interval_ms
             self.handle.registerTimer(at)
@@ -170,8 +194,8 @@ def _mode(interval_ms: int) -> str:
     return "ProcessingTime" if interval_ms > 0 else "None"
 
 
-def market_values(source: DataFrame, interval_ms: int = 0) -> DataFrame:
-    return source.groupBy("ticker").transformWithState(MarketValues(interval_ms), schemas.MARKET_VALUE, "Update", _mode(interval_ms))
+def market_values(source: DataFrame, interval_ms: int = 0, each: bool = True) -> DataFrame:
+    return source.groupBy("ticker").transformWithState(MarketValues(interval_ms, each), schemas.MARKET_VALUE, "Update", _mode(interval_ms))
 
 
 def running_positions(trades: DataFrame, interval_ms: int = 0) -> DataFrame:

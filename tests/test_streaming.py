@@ -241,6 +241,32 @@ def test_position_waits_for_price_then_all_are_revalued():
     assert {r.price for r in h.send(P("161.00", 4, 1))} == {Decimal("161.00")}  # same time, later in the source
 
 
+def test_batch_reads_and_writes_a_holder_once():
+    def counted(processor):
+        h, n = Harness(processor, ("AAPL",)), [0]
+
+        class Counted(Map):
+            def containsKey(self, k):
+                n[0] += 1
+                return k in self
+
+            def updateValue(self, k, v):
+                n[0] += 1
+                self[k] = v
+
+        processor.holders = Counted()
+        return h, n
+
+    batches = [[T("A", 1, i) for i in range(200)] + [P("2.00", 50), P("3.00", 60)] + [T("B", 5, 70)], [T("A", 7, 300), T("C", -2, 1)], [P("1.00", 10)], [P("4.00", 400)], [T("B", -5, 500), P("5.00", 450)]]
+    (each, n), (once, m) = counted(stateful.MarketValues(0)), counted(stateful.MarketValues(0, each=False))
+    for batch in batches:
+        shown = {r.account: r for r in each.send(*batch)}
+        got = once.send(*reversed(batch))  # in any order
+        assert {r.account: r for r in got} == shown and len(got) == len(shown)
+    assert {r.account: (r.net_qty, r.mv) for r in got} == {"A": (207, Decimal("1035.00")), "B": (0, Decimal("0.00")), "C": (-2, Decimal("-10.00"))}
+    assert n[0] <= 2 * 5 and m[0] == 2 * 5
+
+
 def test_burst_gives_one_row():
     h = Harness(stateful.MarketValues(1000), ("AAPL",))
     out = [r for i in range(21) for r in h.send(P(f"100.{i:02}", i, i))] + h.send(T("A", 10, 30), T("A", 45, 40))
