@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from posmv.llm.common import slices
 
-#: Bytes of text that are worked on together, and chunks that a worker keeps before it starts anew.
+#: Bytes of text that are worked on together, and chunks that a worker keeps before it lets go of those it met once.
 SLICE, KEPT = 1_000_000, 1_000_000
 
 _NONE = np.int32(-1)
@@ -58,6 +58,12 @@ def _cuts(data: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out[:-1]
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _grown(held: np.ndarray, least: int) -> np.ndarray:
     return held if least <= len(held) else np.concatenate([held, np.zeros(max(least, 2 * len(held)) - len(held), held.dtype)])
 
@@ -128,10 +134,29 @@ class ChunkEncoder:
         self.hash = np.zeros(room, np.uint64)
         self.start, self.size = np.zeros(room, np.int64), np.zeros(room, np.int32)
         self.at, self.length = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.used = np.zeros(room, bool)
         self.ids, self.ids_used = np.zeros(1 << 18, np.int32), 0
         self.words, self.words_used = np.zeros(1 << 17, np.uint64), 0
         self._index(room * 2)
 
+    def _shrink(self) -> None:
+        """Let go of the chunks that were met in one slice only since the last time; of all, if more than half would stay."""
+        stay = np.flatnonzero(self.used[: self.count])
+        if not len(stay) or 2 * len(stay) > self.kept:
+            return self._clear()
+        hash_, size, length = self.hash[stay], self.size[stay], self.length[stay]
+        many = -(-length // 8)
+        ids, words = _gather(self.ids, self.start[stay], size.astype(np.int64)), _gather(self.words, self.at[stay], many)
+        room = 1 << max(16, len(stay).bit_length())
+        self._clear(room)
+        n = len(stay)
+        self.hash[:n], self.size[:n], self.length[:n] = hash_, size, length
+        self.start[:n], self.at[:n] = np.cumsum(size) - size, np.cumsum(many) - many
+        self.ids, self.words = _grown(self.ids, len(ids)), _grown(self.words, len(words))
+        self.ids[: len(ids)], self.words[: len(words)] = ids, words
+        self.count, self.ids_used, self.words_used = n, len(ids), len(words)
+        self._place(np.arange(n))
+
     def _index(self, places: int) -> None:
         """Open addressing over the kept chunks."""
         self.shift, self.mask = np.uint64(64 - (places.bit_length() - 1)), np.uint64(places - 1)
@@ -167,7 +192,7 @@ class ChunkEncoder:
         many = -(-spans.sizes[new] // 8)
         n = self.count + len(ids)
         if n > len(self.hash):
-            for name in ("hash", "start", "size", "at", "length"):
+            for name in ("hash", "start", "size", "at", "length", "used"):
                 setattr(self, name, _grown(getattr(self, name), n))
         self.ids, self.words = _grown(self.ids, self.ids_used + len(flat)), _grown(self.words, self.words_used + len(words))
         to = slice(self.count, n)
@@ -187,9 +212,11 @@ class ChunkEncoder:
         """The kept chunk of each span of data; new ones are encoded first."""
         spans = Spans(data, starts, sizes)
         found = self._find(spans, np.arange(len(starts)))
+        self.used[found[found != _NONE]] = True
         if (new := np.flatnonzero(found == _NONE)).size and self.count > self.kept:
-            self._clear()
-            new = np.arange(len(found))
+            self._shrink()
+            found = self._find(spans, np.arange(len(starts)))
+            new = np.flatnonzero(found == _NONE)
         while new.size:
             # one of each hash; what has the same hash and other bytes is still missing afterwards
             one = new[np.unique(spans.hash[new], return_index=True)[1]]
@@ -221,8 +248,7 @@ class ChunkEncoder:
         for a, b in zip(edges, edges[1:]):
             found = self._kept(data, starts[a:b], sizes[a:b])
             n = many[a:b] = self.size[found]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.repeat(self.start[found] - (ends - n), n) + np.arange(ends[-1])])
+            out.append(_gather(self.ids, self.start[found], n))
         return np.concatenate(out), np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:

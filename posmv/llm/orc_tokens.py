@@ -8,7 +8,9 @@ for some ids skips stripes and row groups by the footer's ranges and the Bloom f
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ class Library:
     """The tokenizers library over distinct chunks; tokens that the file adds to its vocabulary are chunks."""
 
     def __init__(self, path: str):
+        # Spark has a worker for each core; the library's threads beside them would double its CPU seconds
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,7 +38,7 @@ class Library:
         self.chunks = ChunkEncoder(self.encode_many, apart=added)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @functools.cache

@@ -235,6 +235,34 @@ def test_bpe_equals_the_library(reference):
         assert coder.decode(ids) == (t or "").encode()
 
 
+def test_chunks_that_repeat_stay_when_the_table_is_full():
+    asked = Counter()
+
+    def encode(texts):
+        asked.update(texts)
+        return [np.frombuffer(t.encode(), np.uint8).astype(np.int32).tobytes() for t in texts]
+
+    coder = chunks.ChunkEncoder(encode, kept=300)
+    for k in range(30):
+        text = " ".join(["common", "words", *(f"n{k}x{i}" for i in range(100)), "stay"])
+        assert coder.encode([text])[0].tolist() == list(text.encode())
+        assert coder.count <= 300 + 103
+    assert asked["common"] == asked[" words"] == asked[" stay"] == 1 and asked[" n0x5"] == 1
+
+
+def test_the_library_starts_no_threads_in_a_worker():
+    import os
+    import subprocess
+    import sys
+
+    code = """import os; from posmv.llm import orc_tokens as o
+n = len(os.listdir('/proc/self/task')); x = o.Library(o.default_tokenizer()).encode_many([f'word{i} and {i * i}' for i in range(20000)])
+print(len(x), len(os.listdir('/proc/self/task')) - n)"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("TOKENIZERS_", "RAYON_"))} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    said = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout
+    assert said.split() == ["20000", "0"]
+
+
 def test_long_and_short_pieces_merge_alike(reference):
     coder = bpe.load(bpe.default_ranks())
     rng = random.Random(4)
