@@ -81,7 +81,8 @@ class ByteBPE:
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
         self.split = regex.compile(_pattern()).findall
-        self.chunks = ChunkEncoder(self.encode_strings)
+        # a worker lives on through the stages of a pipeline, and what is kept with it
+        self.chunks = ChunkEncoder(self.encode_strings, kept=1 << 18)
 
     def encode_strings(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of int32."""

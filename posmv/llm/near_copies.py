@@ -34,6 +34,8 @@ from posmv.llm.substring import mix
 BANDS, ROWS, RADIUS, BLOCK = 16, 4, 20, 2048
 #: Members of a shard that an asker is checked against at a time.
 NEAREST = 32
+#: Pairs of members and askers that are held at a time (some 100 bytes each).
+PAIRS = 1 << 18
 #: Rows whose numbers are broadcast at most (8 bytes each).
 LISTED = 1 << 20
 
@@ -105,18 +107,21 @@ def _marks(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, fp long, size long, keys array<long>")
 
 
-def _near(members: np.ndarray, askers: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _near(members: np.ndarray, askers: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of members and askers (tables with row, of, fp, size) in RADIUS of each other, in different components and
-    of sizes that allow the similarity; by asker, the nearest first."""
-    held = list(near_pairs(members[2].view(np.uint64), askers[2].view(np.uint64), RADIUS))
-    if not held:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-    low, high = np.minimum(members[3][i], askers[3][j]), np.maximum(members[3][i], askers[3][j])
-    ok = (members[1][i] != askers[1][j]) & (low / high >= similarity)
-    i, j = i[ok], j[ok]
-    order = np.lexsort((members[0][i], np.bitwise_count(members[2][i] ^ askers[2][j]), j))
-    return i[order], j[order]
+    of sizes that allow the similarity; by asker, the nearest first, and PAIRS at most at a time."""
+    step = max(1, PAIRS // max(1, members.shape[1]))
+    for k in range(0, askers.shape[1], step):
+        held = list(near_pairs(members[2].view(np.uint64), askers[2, k : k + step].view(np.uint64), RADIUS))
+        if not held:
+            continue
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        j += k
+        low, high = np.minimum(members[3][i], askers[3][j]), np.maximum(members[3][i], askers[3][j])
+        ok = (members[1][i] != askers[1][j]) & (low / high >= similarity)
+        i, j = i[ok], j[ok]
+        order = np.lexsort((members[0][i], np.bitwise_count(members[2][i] ^ askers[2][j]), j))
+        yield i[order], j[order]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
@@ -166,23 +171,26 @@ def _involved(dealt: DataFrame, similarity: float) -> DataFrame:
         for table, _ in _groups(batches):
             asks = np.flatnonzero(table[3])
             owns = np.flatnonzero(table[3] == 0)
-            i, j = _near(table[4:, owns], table[4:, asks], similarity)
-            if len(i):
-                part = table[:, np.concatenate([owns[np.unique(i)], asks[np.unique(j)]])]
+            near = [(np.unique(i), np.unique(j)) for i, j in _near(table[4:, owns], table[4:, asks], similarity) if len(i)]
+            if near:
+                i, j = (np.unique(np.concatenate(x)) for x in zip(*near, strict=True))
+                part = table[:, np.concatenate([owns[i], asks[j]])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["key", "b", "c", "asks", "row", "of", "fp", "size"])
 
     return dealt.repartition("key", "b", "c").sortWithinPartitions("key", "b", "c").mapInArrow(run, _GROUP)
 
 
+def _runs(j: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(j[1:] != j[:-1]) + 1).tolist(), len(j)]
+    return zip(edges, edges[1:]) if len(j) else iter(())
+
+
 def linked(table: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that join exactly the components which similar rows of one group join. table: asks, row, of, fp, size."""
     asks, owns = np.flatnonzero(table[0]), np.flatnonzero(table[0] == 0)
     of = table[2].copy()
-    i, j = _near(table[1:, owns], table[1:, asks], similarity)
     found = []
-    edges = np.append(np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else [], len(j)).astype(int)
-    for x, y in zip(edges, edges[1:]):
-        a, todo = asks[j[x]], owns[i[x:y]]
+    for a, todo in ((asks[j[x]], owns[i[x:y]]) for i, j in _near(table[1:, owns], table[1:, asks], similarity) for x, y in _runs(j)):
         while len(todo := todo[of[todo] != of[a]]):
             now, todo = todo[:NEAREST], todo[NEAREST:]
             flat = np.concatenate([sets[t] for t in now])

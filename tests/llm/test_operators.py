@@ -263,6 +263,24 @@ print(len(x), len(os.listdir('/proc/self/task')) - n)"""
     assert said.split() == ["20000", "0"]
 
 
+def test_pairs_of_a_group_are_held_in_parts():
+    import tracemalloc
+
+    n, rng = 1200, np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 2**63, 20).astype(np.uint64)) for _ in range(n)] * 2
+    sets[n + 7] = sets[3]  # the one pair that is alike; all have near fingerprints
+    rows = np.arange(n)
+    half = np.stack([np.zeros(n, int), rows, rows, np.zeros(n, int), np.full(n, 20)])
+    table = np.concatenate([half, half], 1)
+    table[0, n:] = 1
+    table[1:3, n + 7] = table[1:3, 7]
+    tracemalloc.start()
+    assert near_copies.linked(table, sets, 0.8) == [(7, 3)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
 def test_long_and_short_pieces_merge_alike(reference):
     coder = bpe.load(bpe.default_ranks())
     rng = random.Random(4)
